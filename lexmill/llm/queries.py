@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, quality
-from .common import table
+from . import mixing, packing, quality, tokenstore
+from .common import cut, shared_dir, table
 
 
 def tokens(name: str) -> str:
@@ -17,6 +18,14 @@ def tokens(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    to = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    manifest = tokenstore.write(table(spark, sf_dir, "documents"), tokens("word_bpe_49k.json"), to, end_id=1)
+    found = cut(tokenstore.read(spark, manifest))
+    tokenstore.remove(to)
+    return found
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokens("byte_bpe_50k.json"))
 
@@ -31,7 +40,7 @@ def op10_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_best_fit_packing, op8_quality_rules, op10_mixing_sources)}
+    return {f.__name__: f for f in (op1_token_binary, op4_best_fit_packing, op8_quality_rules, op10_mixing_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
