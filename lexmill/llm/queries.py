@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, quality, tokenstore
+from . import minhash, mixing, packing, quality, tokenstore
 from .common import cut, shared_dir, table
 
 
@@ -35,12 +35,16 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
 
 
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2)
+
+
 def op10_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_binary, op4_best_fit_packing, op8_quality_rules, op10_mixing_sources)}
+    return {f.__name__: f for f in (op1_token_binary, op4_best_fit_packing, op8_quality_rules, op9_minhash_near_dedup, op10_mixing_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
