@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, mixing, packing, quality, tokenstore
+from . import linededup, minhash, mixing, packing, quality, tokenstore
 from .common import cut, shared_dir, table
 
 
@@ -26,6 +26,10 @@ def op1_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.judged(table(spark, sf_dir, "documents"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokens("byte_bpe_50k.json"))
 
@@ -44,7 +48,7 @@ def op10_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_binary, op4_best_fit_packing, op8_quality_rules, op9_minhash_near_dedup, op10_mixing_sources)}
+    return {f.__name__: f for f in (op1_token_binary, op2_line_dedup, op4_best_fit_packing, op8_quality_rules, op9_minhash_near_dedup, op10_mixing_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
