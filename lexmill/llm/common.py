@@ -35,3 +35,12 @@ def word_count(text: Column) -> Column:
     """How many words a text has, as a long; null has none."""
     words = F.regexp_replace(text, WORD, "x")
     return F.coalesce(F.length(F.translate(words, " \t\n\x0b\x0c\r", "")), F.lit(0)).cast("long")
+
+
+def batched(df: DataFrame) -> DataFrame:
+    """``df`` in a session that hands texts to Python in small batches, unless it names a batch size itself: whole texts
+    are large, and a worker holds a batch several times over."""
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    return df

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import batched, cut
 from .components import components
 
 HASHES = 64
@@ -83,7 +83,7 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *columns], ["doc_id", "n_shingles", "h1", "h2", "signature"])
 
     wanted = docs.select("doc_id", F.col("text").cast("string"))
-    return wanted.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, signature binary")
+    return batched(wanted).mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, signature binary")
 
 
 def trees(classes: DataFrame, depths: tuple[int, ...] = DEPTHS) -> DataFrame:
@@ -102,7 +102,7 @@ def trees(classes: DataFrame, depths: tuple[int, ...] = DEPTHS) -> DataFrame:
                         at.append(pa.array(h.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([b.column(0), *at, pa.array(short, pa.binary())], ["node", *[f"p{d}" for d in depths], "short"])
 
-    return classes.mapInArrow(run, "node long" + "".join(f", p{d} long" for d in depths) + ", short binary")
+    return batched(classes).mapInArrow(run, "node long" + "".join(f", p{d} long" for d in depths) + ", short binary")
 
 
 def _local(n: int, pairs: np.ndarray) -> np.ndarray:
@@ -204,7 +204,7 @@ def confirmed(docs: DataFrame, clusters: DataFrame, width: int, share: int) -> D
             yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array(found, pa.binary())], ["node", "cluster", "blocks", "block", "found"])
 
     texts = texts.select(F.col("node").cast("long"), "text", "cluster", "blocks", "block")
-    found = texts.mapInArrow(sets, "node long, cluster long, blocks int, block int, found binary")
+    found = batched(texts).mapInArrow(sets, "node long, cluster long, blocks int, block int, found binary")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     found = found.select("node", "cluster", "block", "found", other)
     found = found.select("node", "found", "cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .byte_bpe import encode
-from .common import cut
+from .common import batched, cut
 
 #: Pieces in a hash range of a length, about.
 RANGE_ROWS = 50_000
@@ -165,7 +165,7 @@ def pieces(docs: DataFrame, path: str, size: int = 2048, end_id: int = 0, ids: b
 
     wanted = docs.select("doc_id", F.col("text").cast("string"))
     kind = wanted.schema["doc_id"].dataType.simpleString()
-    return wanted.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * ids)
+    return batched(wanted).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * ids)
 
 
 def pack(docs: DataFrame, path: str, size: int = 2048, end_id: int = 0, ids: bool = False) -> DataFrame:
@@ -195,4 +195,4 @@ def pack(docs: DataFrame, path: str, size: int = 2048, end_id: int = 0, ids: boo
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "range")
-    return numbered.select(*names, "number").mapInArrow(run, kinds + ", sequence_id long, offset long")
+    return batched(numbered.select(*names, "number")).mapInArrow(run, kinds + ", sequence_id long, offset long")

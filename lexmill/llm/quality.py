@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import batched, cut
 from .wordstats import STATS, text_stats
 
 #: The share of each group that the covariance is fitted to.
@@ -68,7 +68,7 @@ def statistics(docs: DataFrame) -> DataFrame:
 
     wanted = docs.select("doc_id", "lang", "source", F.col("text").cast("string"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in wanted.schema[:3])
-    return wanted.mapInArrow(run, kinds + "".join(f", {c} long" for c in STATS))
+    return batched(wanted).mapInArrow(run, kinds + "".join(f", {c} long" for c in STATS))
 
 
 def base_failed() -> Column:

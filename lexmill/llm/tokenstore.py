@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import word_bpe
+from .common import batched
 
 MAGIC = b"LXMT"
 HEAD = "<4sHHQ"
@@ -75,7 +76,7 @@ def train(docs: DataFrame, path: str, end_id: int, sample: int = SAMPLE, size: i
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary())], ["ids"])
 
     some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select(F.col("text").cast("string"))
-    samples = sorted(bytes(r.ids) for r in some.mapInArrow(run, "ids binary").collect())
+    samples = sorted(bytes(r.ids) for r in batched(some).mapInArrow(run, "ids binary").collect())
     try:
         return zstandard.train_dictionary(size, samples).as_bytes()
     except zstandard.ZstdError:
@@ -139,7 +140,7 @@ def write(docs: DataFrame, path: str, to: str, end_id: int = 1, shard_rows: int
         kinds = (pa.int32(), pa.string(), pa.int64(), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], t) for k, t in enumerate(kinds)], ["shard", "file", "docs", "tokens"])
 
-    rows = docs.mapInArrow(encode, "shard int, doc_id long, n long, frame binary").repartition(len(edges) + 1, "shard")
+    rows = batched(docs).mapInArrow(encode, "shard int, doc_id long, n long, frame binary").repartition(len(edges) + 1, "shard")
     made = rows.sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "frame").mapInArrow(store, "shard int, file string, docs long, tokens long").collect()
     made = sorted(made)
     starts = [0, *accumulate(r.tokens for r in made)]
