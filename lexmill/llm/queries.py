@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, linededup, minhash, mixing, packing, quality, tokenstore
+from . import ann, linededup, minhash, mixing, packing, quality, tokenstore, toxicity
 from .common import cut, shared_dir, table
 
 
@@ -35,6 +35,11 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokens("byte_bpe_50k.json"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -53,7 +58,7 @@ def op10_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_binary, op2_line_dedup, op4_best_fit_packing, op6_nearest_neighbours, op8_quality_rules, op9_minhash_near_dedup, op10_mixing_sources)}
+    return {f.__name__: f for f in (op1_token_binary, op2_line_dedup, op4_best_fit_packing, op5_toxicity, op6_nearest_neighbours, op8_quality_rules, op9_minhash_near_dedup, op10_mixing_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
