@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, linededup, minhash, mixing, packing, quality, tokenstore, toxicity
+from . import ann, linededup, minhash, mixing, packing, quality, tokenstore, toxicity, unigram
 from .common import cut, shared_dir, table
 
 
@@ -44,6 +44,10 @@ def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.token_counts(table(spark, sf_dir, "documents"), tokens("piece_bpe_32k.model"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.judge(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
@@ -58,7 +62,7 @@ def op10_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_binary, op2_line_dedup, op4_best_fit_packing, op5_toxicity, op6_nearest_neighbours, op8_quality_rules, op9_minhash_near_dedup, op10_mixing_sources)}
+    return {f.__name__: f for f in (op1_token_binary, op2_line_dedup, op4_best_fit_packing, op5_toxicity, op6_nearest_neighbours, op7_token_counts, op8_quality_rules, op9_minhash_near_dedup, op10_mixing_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
