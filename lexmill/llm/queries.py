@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, linededup, minhash, mixing, packing, quality, tokenstore, toxicity, unigram
+from . import ann, linededup, minhash, mixing, packing, quality, secrets, tokenstore, toxicity, unigram
 from .common import cut, shared_dir, table
 
 
@@ -31,6 +31,12 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.judged(table(spark, sf_dir, "documents"))
 
 
+def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    words = secrets.dictionary(docs)
+    return secrets.scan(docs, secrets.train(secrets.examples(spark), words), words)
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokens("byte_bpe_50k.json"))
 
@@ -62,7 +68,7 @@ def op10_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_binary, op2_line_dedup, op4_best_fit_packing, op5_toxicity, op6_nearest_neighbours, op7_token_counts, op8_quality_rules, op9_minhash_near_dedup, op10_mixing_sources)}
+    return {f.__name__: f for f in (op1_token_binary, op2_line_dedup, op3_secret_scans, op4_best_fit_packing, op5_toxicity, op6_nearest_neighbours, op7_token_counts, op8_quality_rules, op9_minhash_near_dedup, op10_mixing_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
