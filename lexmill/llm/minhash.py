@@ -270,3 +270,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: int = 80, crowd: int
     ids = rows.drop("signature").join(roots, same, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     return ids.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def first_of_each(docs: DataFrame, width: int = 5, share: int = 80) -> DataFrame:
+    """``docs`` without the documents that aren't the first of their component; rows of equal doc_id share a verdict."""
+    gone = near_duplicates(docs, width, share).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = cut(gone)
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")

@@ -32,6 +32,8 @@ CUTOFF = 0.99999
 STEPS = 6
 #: Standard deviations added to those found: differences in a statistic that never matter alone.
 FLOORS = {"length": 0.06, "symbols": 0.05, "dup_lines": 0.12, "repeats": 0.08, "distinct": 0.04}
+#: Below so many rejected documents their ids (8 bytes each) are broadcast.
+BROADCAST_IDS = 1_000_000
 #: Below so many groups their estimates (under 400 bytes each) are broadcast.
 BROADCAST_GROUPS = 20_000
 
@@ -161,3 +163,11 @@ def judge(docs: DataFrame, small: int = 100, cutoff: float = CUTOFF) -> DataFram
     rows = rows.join(F.broadcast(found) if groups <= BROADCAST_GROUPS else found, "g", "left").withColumn("distance", distance(p))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= limit, F.lit(True))
     return rows.select("doc_id", "lang", "source", *STATS, "base_failed", "distance", kept.alias("kept"))
+
+
+def passing(docs: DataFrame, small: int = 100, cutoff: float = CUTOFF) -> DataFrame:
+    """The rows of ``docs`` that are kept; rows of equal doc_id (null counts as one) all go if any is rejected."""
+    gone = cut(judge(docs, small, cutoff).where("not kept").select(F.col("doc_id").alias("_gone")).distinct())
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
