@@ -32,6 +32,10 @@ TERMS = 2_000
 LEAST = 30.0
 K = 15
 BLOCK = 64
+#: Blocks opened before the bound of the others is compared with what was found.
+FIRST = 8
+#: Different vectors whose neighbours a worker remembers; many texts hold the same few words.
+REMEMBERED = 50_000
 
 _NO_WORD = re.compile(rb"[^a-z0-9\x80-\xff]+")
 
@@ -51,6 +55,7 @@ class Index:
     toxic: np.ndarray
     ptr: np.ndarray  # word x (blocks + 1): where its postings in each block start
     docs: np.ndarray
+    blocks: np.ndarray  # of the postings' examples
     weights: np.ndarray
     most: np.ndarray  # word x block: the largest weight
     alone: float = 0.0  # the score of texts without neighbours
@@ -68,29 +73,34 @@ class Index:
     def nearest(self, at: np.ndarray, x: np.ndarray, but: int = -1, k: int = K) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the ``k`` nearest examples, without the one at ``but``; ties to the earlier place."""
         bounds = x @ self.most[at]
-        order = np.argsort(-bounds, kind="stable")
-        order = order[bounds[order] > 0]
-        best, score = np.empty(0, np.int64), np.empty(0)
-        step = 4
-        for low in range(0, len(order), step):
-            if len(score) == k and score[-1] > bounds[order[low]] + 1e-12:
-                break
-            sums: dict[int, np.ndarray] = {}
-            blocks = order[low : low + step]
-            got = np.zeros((len(blocks), BLOCK))
-            for t, w in zip(at, x):
-                for r, b in enumerate(blocks):
-                    a, z = self.ptr[t, b], self.ptr[t, b + 1]
-                    if a < z:
-                        got[r, self.docs[a:z] - b * BLOCK] += w * self.weights[a:z]
-            place = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            got = got.ravel()
-            some = (got > 0) & (place != but)
-            best, score = np.concatenate((best, place[some])), np.concatenate((score, got[some]))
+        order = np.argsort(-bounds, kind="stable")[: int((bounds > 0).sum())]
+        best, score = self._opened(at, x, order[:FIRST], but, k)
+        least = score[-1] - 1e-12 if len(score) == k else 0.0
+        rest = order[FIRST:]
+        rest = rest[bounds[rest] >= least]
+        if len(rest):
+            more, theirs = self._opened(at, x, rest, but, k)
+            best, score = np.concatenate((best, more)), np.concatenate((score, theirs))
             keep = np.lexsort((best, -score))[:k]
             best, score = best[keep], score[keep]
         return best, score
 
+    def _opened(self, at: np.ndarray, x: np.ndarray, blocks: np.ndarray, but: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest within ``blocks``: their postings of all words, added up by example."""
+        wanted = np.zeros(self.most.shape[1], bool)
+        wanted[blocks] = True
+        docs, part = [], []
+        for t, w in zip(at, x):
+            a, z = self.ptr[t, 0], self.ptr[t, -1]
+            some = wanted[self.blocks[a:z]]
+            docs.append(self.docs[a:z][some])
+            part.append(w * self.weights[a:z][some])
+        found = np.bincount(np.concatenate(docs), np.concatenate(part)) if docs else np.empty(0)
+        place = np.flatnonzero(found)
+        place = place[place != but]
+        keep = np.lexsort((place, -found[place]))[:k]
+        return place[keep], found[place][keep]
+
     def vote(self, best: np.ndarray, score: np.ndarray) -> float:
         w = score * score
         return float((w * self.toxic[best]).sum() / w.sum())
@@ -141,7 +151,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int =
     number = {w: k for k, w in enumerate(chosen)}
     total, df = frequencies(docs, number)
     idf = np.log((1 + total) / (1 + df)) + 1
-    index = Index(number, idf, *[np.empty(0, np.int64)] * 2, *[np.zeros((len(number), 1), np.int64)], np.empty(0, np.int64), np.empty(0), np.zeros((len(number), 0)))
+    index = Index(number, idf, *[np.empty(0, np.int64)] * 2, *[np.zeros((len(number), 1), np.int64)], *[np.empty(0, np.int64)] * 2, np.empty(0), np.zeros((len(number), 0)))
     every, toxic = bag.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     rows = []
     if chosen:
@@ -198,7 +208,8 @@ def _fill(index: Index, vectors: list) -> None:
     weight = np.concatenate([r[3] for r in vectors])
     order = np.lexsort((doc, term))
     term, index.docs, index.weights = term[order], doc[order], weight[order]
-    cell = term * blocks + index.docs // BLOCK
+    index.blocks = index.docs // BLOCK
+    cell = term * blocks + index.blocks
     index.ptr = np.searchsorted(cell, np.arange(v)[:, None] * blocks + np.arange(blocks + 1)[None, :])
     index.most = np.zeros((v, blocks))
     np.maximum.at(index.most.reshape(-1), cell, index.weights)
@@ -211,13 +222,20 @@ def score(docs: DataFrame, index: Index, evidence: int = 3) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         known = index.number.keys()
+        seen: dict[bytes, tuple] = {}
         for b in batches:
             scores, near = [], []
             for t in b.column(1).to_pylist():
                 found = words(t)
                 best = ()
                 if not known.isdisjoint(found):
-                    best, cosines = index.nearest(*index.vector(Counter(found)))
+                    at, x = index.vector(Counter(filter(known.__contains__, found)))
+                    key = at.tobytes() + x.tobytes()
+                    if key not in seen:
+                        if len(seen) >= REMEMBERED:
+                            seen.clear()
+                        seen[key] = index.nearest(at, x)
+                    best, cosines = seen[key]
                 scores.append(index.probability(index.vote(best, cosines)) if len(best) else index.alone)
                 near.append([{"doc_id": int(index.ids[k]), "cosine": float(c), "toxic": int(index.toxic[k])} for k, c in zip(best[:evidence], cosines)] if len(best) else [])
             kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
