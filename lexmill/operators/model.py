@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import multiset
 from ..functions.tokens import UNK, back_off
+from ..session import cut
 
 DISCOUNTS = (0.8, 0.4, 0.2, 0.1)
 UNIGRAM = (0.75, 0.25, 0.1)
@@ -30,12 +31,7 @@ class Model:
 
     def cut(self) -> Model:
         """The same, computed, without its lineage."""
-        spark = self.counts.sparkSession
-        if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-            import tempfile
-
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lexmill-"))
-        return Model(self.counts.checkpoint(), self.states.checkpoint(), self.order, self.num_words, self.meta)
+        return Model(cut(self.counts), cut(self.states), self.order, self.num_words, self.meta)
 
 
 def scale_of(scales: dict[str, float] | float) -> Column:
@@ -111,15 +107,6 @@ def estimate(counts: DataFrame, order: int, num_words: int, scales: dict[str, fl
     return Model(both[0], both[1], order, num_words)
 
 
-def chains(model: Model, grams: DataFrame) -> DataFrame:
-    """``grams`` (hist, word and more) with chain: k, hist, c, total and disc at each history of theirs that the model has, shortest first."""
-    keyed = grams.withColumn("_at", F.monotonically_increasing_id()) if "_at" not in grams.columns else grams
-    steps = keyed.select("_at", "word", F.explode(F.transform(F.sequence(F.lit(0), F.size("hist")), lambda k: F.slice("hist", F.lit(1), k))).alias("hist"))
-    met = steps.join(model.states.select("hist", "total", "discount"), "hist").join(model.counts.select("hist", "word", "count"), ["hist", "word"], "left")
-    step = F.struct(F.size("hist").alias("k"), F.coalesce("count", F.lit(0.0)).alias("c"), F.col("total"), F.col("discount").alias("disc"))
-    return keyed.join(met.groupBy("_at").agg(F.sort_array(F.collect_list(step)).alias("chain")), "_at")
-
-
 def probability(chain: str = "chain") -> Column:
     return F.aggregate(chain, F.lit(0.0), lambda p, s: (s["c"] + s["disc"] * p) / s["total"])
 
@@ -146,21 +133,8 @@ def log_prob(model: Model, grams: DataFrame) -> DataFrame:
 
 def probabilities(model: Model) -> DataFrame:
     """ord, hist, word, prob and log10 of each n-gram of the model; a shorter n-gram that it lacks counts 0 there."""
-    found = None
-    for o in range(1, model.order + 1):
-        here = model.counts.where(F.col("ord") == o).join(model.states.select("hist", "total", "discount"), "hist")
-        if found is None:
-            now = here.select("ord", "hist", "word", (F.col("count") / F.col("total")).alias("prob"))
-            lower = now
-        else:
-            # the probability after the shorter history, along all of its own shorter ones
-            chained = here.select("ord", "hist", "word", "count", "total", "discount")
-            below = scored(model, here.select(back_off().alias("hist"), "word").distinct())
-            now = chained.withColumn("b", back_off()).join(below.select(F.col("hist").alias("b"), "word", F.col("prob").alias("p")), ["b", "word"])
-            now = now.select("ord", "hist", "word", ((F.col("count") + F.col("discount") * F.col("p")) / F.col("total")).alias("prob"))
-            lower = now
-        found = lower if found is None else found.unionByName(lower)
-    return found.withColumn("log10", F.log10("prob"))
+    found = scored(model, model.counts.select("ord", "hist", "word"))
+    return found.select("ord", "hist", "word", "prob", F.log10("prob").alias("log10"))
 
 
 def back_off_weights(model: Model) -> DataFrame:

@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> None:
@@ -21,3 +21,11 @@ def ship(spark: SparkSession) -> None:
             z.write(f, f.relative_to(here.parent))
     context.addPyFile(str(to))
     context._has_lexmill = True
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the folder of spark.checkpoint.dir (a temporary one only where none is set): its lineage ends here."""
+    spark = df.sparkSession
+    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="lexmill-"))
+    return df.checkpoint(eager=True)
