@@ -50,6 +50,6 @@ def read(spark: SparkSession, path: str, vocab: DataFrame) -> DataFrame:
     """ord, hist (ids, most recent first), word, prob and backoff (log10) of the n-grams in ARPA text."""
     found = spark.read.text(path).where(F.col("value").rlike("^-?[0-9.]+\t"))
     part = F.split("value", "\t")
-    each = found.select(part[0].cast("double").alias("prob"), F.split(part[1], " ").alias("words"), F.get(part, F.lit(2)).cast("double").alias("backoff")).withColumn("at", F.monotonically_increasing_id())
+    each = found.select(part[0].cast("double").alias("prob"), F.split(part[1], " ").alias("words"), F.get(part, F.lit(2)).try_cast("double").alias("backoff")).withColumn("at", F.monotonically_increasing_id())
     ids = each.select("*", F.posexplode("words").alias("pos", "word")).join(vocab, "word").groupBy("at", "prob", "backoff").agg(F.sort_array(F.collect_list(F.struct("pos", "id")))["id"].alias("ids"))
     return ids.select(F.size("ids").alias("ord"), F.reverse(F.slice("ids", F.lit(1), F.size("ids") - 1)).alias("hist"), F.element_at("ids", -1).alias("word"), "prob", "backoff")
