@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,3 +46,16 @@ def batched(df: DataFrame) -> DataFrame:
     if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
     return df
+
+
+def stored(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """``df`` computed once as a Parquet table in the shared folder, a fraction of a checkpoint's size, and what removes it."""
+    spark = df.sparkSession
+    to = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(to)
+
+    def remove() -> None:
+        path = spark._jvm.org.apache.hadoop.fs.Path(to)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    return spark.read.schema(df.schema).parquet(to), remove
