@@ -4,7 +4,7 @@ What is to be packed is a histogram: lengths run from 1 to the size of a sequenc
 So the driver plans over at most ``size`` numbers, whatever the corpus: best fit by falling length gives patterns (lengths
 that share a sequence) with multiplicities, then exchanges between underfull patterns follow: move a piece, swap one for one
 or two for one, where the sum of squared fills grows, until a sequence empties. Each length adds a few patterns at most (one pattern
-splits, one is left over, two are new) and each exchange three, so the plan is bounded by ``size`` and ``exchanges``.
+splits, one is left over, two are new) and each exchange three, so the plan is bounded by ``size`` and ``tries``.
 
 Pieces then get a number within their length: a count in their hash range plus the counts of the ranges before it,
 so that a length that a third of all pieces share doesn't meet in one task.
@@ -69,17 +69,18 @@ def best_fit(counts: dict[int, int], size: int) -> Counter[Pattern]:
     return Counter({p: n for at in open_at.values() for p, n in at.items() if n})
 
 
-def improve(patterns: Counter[Pattern], size: int, exchanges: int = 4000) -> Counter[Pattern]:
+def improve(patterns: Counter[Pattern], size: int, tries: int = 3000) -> Counter[Pattern]:
     """Local search: the least filled patterns are emptied into the others by moves and swaps that raise the squared fill."""
     patterns = Counter(patterns)
     total = sum(sum(p) * n for p, n in patterns.items())
     least = -(-total // size)
     stuck: set[Pattern] = set()
-    while exchanges > 0 and sum(patterns.values()) > least:
+    while tries > 0 and sum(patterns.values()) > least:
         under = sorted((p for p, n in patterns.items() if n and sum(p) < size), key=sum)
         low = next((p for p in under if p not in stuck), None)
         if low is None:
             break
+        tries -= 1
         step = _exchange(low, patterns, under, size)
         if step is None:
             stuck.add(low)
@@ -91,7 +92,7 @@ def improve(patterns: Counter[Pattern], size: int, exchanges: int = 4000) -> Cou
                 patterns[p] += k
                 if not patterns[p]:
                     del patterns[p]
-        exchanges -= 1
+        stuck.clear()  # what didn't fit before may now
     return patterns
 
 
