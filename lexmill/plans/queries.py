@@ -167,7 +167,7 @@ QUERIES: dict[str, Callable[[Corpus], DataFrame]] = {
     "protected_ngrams": lambda c: _gram(R.protected(c.model())),
     "shadowed_ngrams": lambda c: _gram(R.shadowed(c.model())),
     "vocab_common": lambda c: V.word_counts(c.dev).select("word").intersect(c.words.select("word")),
-    "vocab_unseen": lambda c: V.word_counts(c.dev).select("word").exceptAll(c.words.select("word")).distinct(),
+    "vocab_unseen": lambda c: V.word_counts(c.dev).select("word").subtract(c.words.select("word")),
     "float_stats": _stats,
     "em_step": _em,
     "pruned_counts": lambda c: _gram(_pruned(c).counts, _e6("count").alias("count_e6")),
