@@ -1,8 +1,8 @@
 """MinHash near-duplicates by an LSH forest, each link confirmed on full shingle sets.
 
 Exact copies (equal sets) fall into one class first, so a group of copies costs one row each and no pairs. Each class has a signature;
-each tree of the forest sorts the signatures by another rotation, and classes with a long enough common prefix are candidates.
-The prefix is as long as its region needs: where more than ``crowd`` classes share one, they're split by longer ones. Candidates
+each tree of the forest takes another part of the signatures as its prefix, and classes with a common prefix are candidates, all pairs of
+them: where more than ``crowd`` share one, they're compared block by block in as many tasks as there are pairs of blocks. Candidates
 that their whole signatures place far below the threshold are dropped (by six standard deviations); the rest form clusters by the components
 of their graph, and in each cluster every pair is compared on the full sets, by products of 0/1 matrices over the shingles
 that at least two members have. Only a spanning set of the confirmed links leaves a task. Clusters of many members are compared block by block.
@@ -26,8 +26,8 @@ from .components import components
 
 HASHES = 64
 TREES = 20
-#: Lengths of prefixes, shortest first.
-DEPTHS = (3, 5, 8, 12, 20)
+#: Values in a prefix.
+DEPTH = 3
 #: Members of a cluster that one task compares at a time.
 BLOCK = 1000
 #: Below so many documents to look at closely, their ids (8 bytes each) are broadcast.
@@ -86,23 +86,21 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
     return batched(wanted).mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, signature binary")
 
 
-def trees(classes: DataFrame, depths: tuple[int, ...] = DEPTHS) -> DataFrame:
-    """For each class and tree: node, a hash of the prefix of each depth, and a byte of each value of the signature."""
-    order = [[(3 * t + k) % HASHES for k in range(depths[-1])] for t in range(TREES)]
+def trees(classes: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """For each class and tree: node, key (a hash of the tree's prefix), and a byte of each value of the signature."""
+    order = [[(depth * t + k) % HASHES for k in range(depth)] for t in range(TREES)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sig = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint32).reshape(-1, HASHES)
-            short = [x.tobytes() for x in (sig & 0xFF).astype(np.uint8)]
+            short = pa.array([x.tobytes() for x in (sig & 0xFF).astype(np.uint8)], pa.binary())
             for t in range(TREES):
-                h, at = np.full(len(sig), t + 1, np.uint64), []
-                for k, c in enumerate(order[t]):
+                h = np.full(len(sig), t + 1, np.uint64)
+                for c in order[t]:
                     h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + sig[:, c])
-                    if k + 1 in depths:
-                        at.append(pa.array(h.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column(0), *at, pa.array(short, pa.binary())], ["node", *[f"p{d}" for d in depths], "short"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h.view(np.int64)), short], ["node", "key", "short"])
 
-    return batched(classes).mapInArrow(run, "node long" + "".join(f", p{d} long" for d in depths) + ", short binary")
+    return batched(classes).mapInArrow(run, "node long, key long, short binary")
 
 
 def _local(n: int, pairs: np.ndarray) -> np.ndarray:
@@ -130,62 +128,68 @@ def _links(out: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
 
 
-def candidates(forest: DataFrame, least: float, crowd: int, depths: tuple[int, ...] = DEPTHS) -> DataFrame:
-    """Links a, b between classes that neighbour in a tree and whose signatures agree in a share of ``least`` or more."""
+def _grown(short: np.ndarray, block: np.ndarray, agree: int) -> np.ndarray:
+    """The first member of each one's component, where pairs agree in ``agree`` bytes or more; of two blocks, only pairs across."""
+    root, across = np.arange(len(short)), block.min() < block.max()
+    rest, values = root.copy(), short
+    while len(rest) > 1:
+        first = int(rest[0])
+        queue, rest, values = [first], rest[1:], values[1:]
+        while queue and len(rest):
+            at = queue.pop()
+            near = (values == short[at]).sum(1) >= agree
+            if across:
+                near &= block[rest] != block[at]
+            if near.any():
+                root[rest[near]] = first
+                queue.extend(rest[near].tolist())
+                rest, values = rest[~near], values[~near]
+    return root
+
+
+def candidates(forest: DataFrame, least: float, crowd: int) -> DataFrame:
+    """Links a, b that join the classes which share a tree's prefix and whose signatures agree in a share of ``least`` or more."""
     agree = int(HASHES * least)
-    keys = [f"p{d}" for d in depths]
-    rows, key, crowded = forest, F.col(keys[0]), forest.select(F.col(keys[0]).alias("k"))
-    # regions too crowded at one depth take the next one's prefixes as their key
-    for shallow, deep in zip(keys, keys[1:]):
-        crowded = cut(crowded.groupBy("k").count().where(F.col("count") > crowd).select("k"))
-        n = crowded.count()
-        if not n:
-            break
-        hot = crowded.select(F.col("k").alias(f"hot_{shallow}"))
-        rows = rows.join(F.broadcast(hot) if n <= BROADCAST_IDS else hot, F.col(shallow) == F.col(f"hot_{shallow}"), "left")
-        key = F.when(F.col(f"hot_{shallow}").isNull(), key).otherwise(F.col(deep)) if shallow == keys[0] else F.when(
-            F.col(f"hot_{shallow}").isNotNull() & (key == F.col(shallow)), F.col(deep)).otherwise(key)
-        crowded = rows.where(F.col(f"hot_{shallow}").isNotNull()).select(F.col(deep).alias("k"))
+    rows = forest.withColumns({"block": F.lit(0), "i": F.lit(0), "j": F.lit(0)})
+    blocks = F.ceil(F.col("count") / crowd).cast("int")
+    crowded = cut(forest.groupBy("key").count().where(F.col("count") > crowd).select("key", blocks.alias("blocks")))
+    n = crowded.count()
+    if n:
+        # each pair of blocks is a task's group, so that no task holds more than about two blocks
+        rows = forest.join(F.broadcast(crowded) if n <= BROADCAST_IDS else crowded, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        rows = rows.select("key", "node", "short", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        rows = rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest_k, rest_n, rest_s = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, HASHES), np.uint8)
+        rest = [np.empty((0, 3), np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, HASHES), np.uint8)]
 
-        def work(k: np.ndarray, nodes: np.ndarray, short: np.ndarray) -> pa.RecordBatch:
+        def work(group: np.ndarray, block: np.ndarray, nodes: np.ndarray, short: np.ndarray) -> pa.RecordBatch:
             out: list = []
-            start = np.flatnonzero(np.diff(k, prepend=k[:1] - 1))
-            stop = np.append(start[1:], len(k))
+            start = np.flatnonzero(np.append(True, (group[1:] != group[:-1]).any(1)))[: len(group)]
+            stop = np.append(start[1:], len(group))
             some = stop - start > 1
             for a, z in zip(start[some].tolist(), stop[some].tolist()):
-                step = crowd  # beyond the longest prefix, signatures are all but equal: neighbours in runs that share a member
-                for low in range(a, z - 1, step):
-                    s, n = short[low : low + step + 1][: z - low], nodes[low : low + step + 1][: z - low]
-                    if len(s) == 2:
-                        if (s[0] == s[1]).sum() >= agree:
-                            out.append((int(n[0]), int(n[1])))
-                        continue
-                    pairs = []
-                    for i in range(len(s) - 1):
-                        j = np.flatnonzero((s[i + 1 :] == s[i]).sum(1) >= agree) + i + 1
-                        if len(j):
-                            pairs.append(np.stack((np.full(len(j), i), j), 1))
-                    if pairs:
-                        _stars(n, _local(len(n), np.concatenate(pairs)), out)
+                if z - a == 2:
+                    if (short[a] == short[a + 1]).sum() >= agree:  # of one block, or of two
+                        out.append((int(nodes[a + 1]), int(nodes[a])))
+                else:
+                    _stars(nodes[a:z], _grown(short[a:z], block[a:z], agree), out)
             return _links(out)
 
         for b in batches:
-            k = np.concatenate((rest_k, b.column(0).to_numpy()))
-            n = np.concatenate((rest_n, b.column(1).to_numpy()))
-            s = np.concatenate((rest_s, np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(-1, HASHES)))
-            last = int(np.searchsorted(k, k[-1])) if len(k) else 0
-            if len(k) - last > 4 * crowd:  # only copies of one signature get here; work on them in parts that share a member
-                last = len(k) - 1
+            group = np.stack([b.column(c).to_numpy().astype(np.int64) for c in range(3)], 1)
+            short = np.frombuffer(b"".join(b.column(5).to_pylist()), np.uint8).reshape(-1, HASHES)
+            now = [np.concatenate(x) for x in zip(rest, (group, b.column(3).to_numpy().astype(np.int64), b.column(4).to_numpy(), short))]
+            differ = np.flatnonzero((now[0] != now[0][-1:]).any(1))
+            last = int(differ[-1]) + 1 if len(differ) else 0
             if last:
-                yield work(k[: last + (len(k) > last and k[last] == k[last - 1])], n[: last + (len(k) > last and k[last] == k[last - 1])], s[: last + (len(k) > last and k[last] == k[last - 1])])
-            rest_k, rest_n, rest_s = k[last:], n[last:], s[last:]
-        yield work(rest_k, rest_n, rest_s)
+                yield work(*[x[:last] for x in now])
+            rest = [x[last:] for x in now]
+        yield work(*rest)
 
-    rows = rows.select(key.alias("key"), "node", "short")
-    return rows.repartition("key").sortWithinPartitions("key", "short", "node").mapInArrow(run, "a long, b long").distinct()
+    rows = rows.select("key", "i", "j", "block", "node", "short")
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node").mapInArrow(run, "a long, b long").distinct()
 
 
 def confirmed(docs: DataFrame, clusters: DataFrame, width: int, share: int) -> DataFrame:

@@ -303,6 +303,16 @@ def test_op9_against_all_pairs(request, which, crowd):
     assert all(r.kept == (r.doc_id == r.component_id) for r in found if r.doc_id is not None)
 
 
+def test_op9_crowded_prefixes_keep_all_pairs(spark):
+    """60 signatures share 31 values, too few for a link; k and k + 30 share 5 more, which no tree has together."""
+    sig = np.arange(60)[:, None] + np.zeros((60, minhash.HASHES), np.uint32)
+    sig[:, :31] = 200
+    sig[:, 34::6] %= 30
+    rows = [(k, x.astype(np.uint32).tobytes()) for k, x in enumerate(sig)]
+    found = minhash.candidates(minhash.trees(spark.createDataFrame(rows, "node long, signature binary")), 0.5, 3).collect()
+    assert {frozenset((r.a, r.b)) for r in found} == {frozenset((k, k + 30)) for k in range(30)}
+
+
 def test_op9_empty(docs):
     assert minhash.near_duplicates(docs.limit(0)).count() == 0 and minhash.first_of_each(docs).columns == docs.columns
 
