@@ -7,8 +7,9 @@ bins of distance, each with its moments, so that the subset is cut without sorti
 variance is added to each statistic, so a group in which one never varies still has a distance.
 
 Defined results: null or wordless texts have zero counts and fail the base rules. Null languages and sources are values
-like others. Groups with under ``small`` rows share one estimate per language; where that too has under ``small``, no row of it is
-rejected. Repeated rows are judged one by one and alike. An empty table gives an empty result.
+like others. Groups with under ``small`` rows share one estimate per language; where that too has under ``small``, theirs is that of all
+rows of the language, and where the language has under ``small``, that of all documents, however many. So every row that passes the base rules
+has a distance. Repeated rows are judged one by one and alike. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -149,16 +150,24 @@ def judge(docs: DataFrame, small: int = 100, cutoff: float = CUTOFF) -> DataFram
     stats = statistics(docs).withColumn("base_failed", base_failed()).withColumn("x", F.when(~F.col("base_failed"), F.array(*vector())))
     stats = cut(stats)
     own = F.to_json(F.struct("lang", "source"), {"ignoreNullFields": "false"})
-    pooled = F.to_json(F.struct("lang"), {"ignoreNullFields": "false"})
+    pooled, whole, every = (F.to_json(F.struct(*c, F.lit(k).alias("of")), {"ignoreNullFields": "false"}) for c, k in ((["lang"], "small"), (["lang"], "all"), ([], "all")))
     per = stats.where("not base_failed").groupBy("lang", "source").agg(F.count("*").alias("n"))
     per = per.withColumn("few", F.col("n") < small)
     in_pool = F.sum(F.when(F.col("few"), F.col("n")).otherwise(0)).over(Window.partitionBy("lang"))
-    per = per.withColumn("g", F.when(~F.col("few"), own).when(in_pool >= small, pooled))
-    per = cut(per.select(F.col("lang").alias("gl"), F.col("source").alias("gs"), "g"))
+    in_lang = F.sum("n").over(Window.partitionBy("lang"))
+    per = per.withColumn("g", F.when(~F.col("few"), own).when(in_pool >= small, pooled).when(in_lang >= small, whole).otherwise(every))
+    per = cut(per.select(F.col("lang").alias("gl"), F.col("source").alias("gs"), "g", whole.alias("whole")))
     groups = per.count()
     same = F.col("lang").eqNullSafe(F.col("gl")) & F.col("source").eqNullSafe(F.col("gs"))
     rows = stats.join(F.broadcast(per) if groups <= BROADCAST_GROUPS else per, same, "left")
-    found = estimates(cut(rows.where("x is not null and g is not null").select("g", "x")), list(FLOORS.values()))
+    fit = rows.where("x is not null").select("g", "whole", "x")
+    # fallbacks are fitted to the rows of other groups too
+    wide = cut(per.where(F.col("g") == F.col("whole")).select(F.col("g").alias("wide")).distinct())
+    mine = fit.where((F.col("g") != F.col("whole")) & (F.col("g") != every)).select("g", "x")
+    mine = mine.unionByName(fit.join(F.broadcast(wide) if groups <= BROADCAST_GROUPS else wide, F.col("whole") == F.col("wide")).select(F.col("wide").alias("g"), "x"))
+    if per.where(F.col("g") == every).count():
+        mine = mine.unionByName(fit.select(every.alias("g"), "x"))
+    found = estimates(cut(mine), list(FLOORS.values()))
     rows = rows.withColumn("g", F.when(F.col("x").isNotNull(), F.col("g")))
     rows = rows.join(F.broadcast(found) if groups <= BROADCAST_GROUPS else found, "g", "left").withColumn("distance", distance(p))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= limit, F.lit(True))

@@ -275,6 +275,18 @@ def test_op8_junk_goes_and_prose_stays(spark, docs):
     assert quality.passing(table(spark, rows)).count() == 300
 
 
+def test_op8_small_groups_are_judged(spark):
+    """A small source beside a large one, and a language of few documents: junk goes from both."""
+    rng = random.Random(7)
+    vocab = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(900)]
+    prose = lambda: "\n".join(" ".join(rng.choice(vocab) for _ in range(12)) for _ in range(rng.randint(3, 30)))
+    rows = [(k, prose(), "en", "large") for k in range(300)] + [(500 + k, prose(), "en", "few") for k in range(30)] + [(600 + k, prose(), "de", "few") for k in range(30)]
+    rows += [(1000 + k, " ".join(rng.choice(vocab) + "###" for _ in range(100)), ("en", "de")[k % 2], "few") for k in range(10)]
+    found = {r.doc_id: r for r in quality.judge(table(spark, rows)).collect()}
+    assert all(r.base_failed or r.distance is not None for r in found.values())
+    assert all(r.kept == (k < 1000) for k, r in found.items())
+
+
 def brute_groups(rows, width, share):
     sets, root = {}, {}
     for i, t in rows:
