@@ -34,6 +34,8 @@ DIRECTIONS, BITS = 12, 4
 REACH = 0.1
 #: Rows in a block, about.
 BLOCK = 2048
+#: Pairs whose exact cosines are worked out at once.
+PAIRS = 65_536
 
 
 def usable(vector: str) -> Column:
@@ -155,11 +157,19 @@ def _keep(state: dict, ids: np.ndarray, x: np.ndarray, k: int) -> None:
         i, v, n = ids[low : low + 4096], x[low : low + 4096], nx[low : low + 4096]
         score = (qv @ v.T) / nq[:, None] / n[None, :]
         score[q[:, None] == i[None, :]] = -9
-        top = np.argpartition(-score, min(k, len(i)) - 1, axis=1)[:, :k]
-        exact = np.einsum("ijk,ijk->ij", np.broadcast_to(qv[:, None, :], (*top.shape, qv.shape[1])), v[top]) / (nq[:, None] * n[top])
-        exact[np.take_along_axis(score, top, 1) < -2] = -9
-        cand = i[top]
+        # all that reach the k-th best, but for rounding: which of equal ones stay is for their ids to say
+        kth = np.partition(score, max(0, len(i) - k), axis=1)[:, max(0, len(i) - k)]
+        row, col = np.nonzero((score >= kth[:, None] - 8 * x.shape[1] * np.finfo(float).eps) & (score > -2))
+        exact, cand = np.empty(len(row)), i[col]
+        for a in range(0, len(row), PAIRS):
+            r, c = row[a : a + PAIRS], col[a : a + PAIRS]
+            exact[a : a + PAIRS] = np.einsum("ij,ij->i", qv[r], v[c]) / (nq[r] * n[c])
         if state["best"] is not None:
-            cand, exact = np.concatenate((state["best"], cand), 1), np.concatenate((state["score"], exact), 1)
-        order = np.lexsort((cand, -exact), axis=1)[:, :k]
-        state["best"], state["score"] = np.take_along_axis(cand, order, 1), np.take_along_axis(exact, order, 1)
+            row = np.concatenate((np.repeat(np.arange(len(q)), k), row))
+            cand, exact = np.concatenate((state["best"].ravel(), cand)), np.concatenate((state["score"].ravel(), exact))
+        order = np.lexsort((cand, -exact, row))
+        row, cand, exact = row[order], cand[order], exact[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        some = place < k
+        state["best"], state["score"] = np.zeros((len(q), k), np.int64), np.full((len(q), k), -9.0)
+        state["best"][row[some], place[some]], state["score"][row[some], place[some]] = cand[some], exact[some]

@@ -226,6 +226,21 @@ def test_op6_recall_and_awkward_vectors(spark):
     assert sorted(r.vec_id for r in few) == [1, 2] and ann.nearest(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_op6_equal_vectors_go_by_id():
+    rng = np.random.RandomState(5)
+    x = rng.randn(3000, 16).astype(np.float32).astype(float)
+    x[np.sort(rng.permutation(3000)[:50])] = x[7] * 2
+    asked = rng.permutation(3000)[:40]
+    state = {"q": [np.append(asked, 7)], "qv": [np.concatenate((x[asked], x[7:8]))], "best": None, "score": None}
+    for a in range(0, 3000, 1500):
+        ann._keep(state, np.arange(a, a + 1500), x[a : a + 1500], 8)
+    size = np.sqrt(np.einsum("ij,ij->i", x, x))
+    for k, q in enumerate([*asked, 7]):
+        s = np.einsum("ij,ij->i", np.broadcast_to(x[q], x.shape).copy(), x) / (size[q] * size)
+        s[q] = -9
+        assert state["best"][k].tolist() == np.lexsort((np.arange(3000), -s))[:8].tolist()
+
+
 def test_op6_curve_has_no_jumps():
     cells = np.array([[a, b] for a in range(8) for b in range(8)])
     keys = [bytes(k) for k in hilbert.hilbert_keys(cells, 3)]
