@@ -7,8 +7,9 @@ which is the rule of the tokenizers library (it offers by rising start, so the l
 single-character piece may also stand alone as unknown, at the least score less ten, and counts as its UTF-8 bytes
 where the vocabulary has bytes to fall back on, else runs of them count one.
 
-A text is cut before each space (written as the vocabulary's mark, which stands before the first word too), so no piece spans two words, and each
-different word of a batch is worked out once.
+A text is cut before each run of spaces (written as the vocabulary's mark, which stands before the first word too) where no piece has a mark after
+another character, so that no piece spans a cut; with another vocabulary it isn't cut. Each different part of a batch is worked out once. With
+``split``, each space is cut before, as by the library's Metaspace, and pieces of several marks don't count.
 
 Defined results: null and empty texts have 0 tokens. Words of any length are whole; very long ones go alone. Repeated rows are counted each. An
 empty table gives an empty result.
@@ -16,6 +17,7 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache
@@ -45,8 +47,11 @@ def vocabulary(path: str) -> tuple[list[tuple[str, float]], bool]:
 
 
 class Automaton:
-    def __init__(self, pieces: list[tuple[str, float]], fallback: bool):
+    def __init__(self, pieces: list[tuple[str, float]], fallback: bool, split: bool = True):
         self.fallback = fallback
+        spans = any(re.search(f"[^{MARK}]{MARK}", p) for p, _ in pieces) or not (fallback or any(p == MARK for p, _ in pieces))
+        #: what texts are cut into, once marks are spaces
+        self.part = re.compile(" [^ ]*" if split else "(?s:.+)" if spans else " +[^ ]*")
         trie: list[dict[int, int]] = [{}]
         score, length = {}, {}
         for piece, s in pieces:
@@ -169,7 +174,7 @@ class Automaton:
 
 @cache
 def automaton(path: str) -> Automaton:
-    return Automaton(*vocabulary(path))
+    return Automaton(*vocabulary(path), split=False)
 
 
 def count_texts(found: Automaton, texts: list[str | None]) -> list[int]:
@@ -183,17 +188,18 @@ def count_texts(found: Automaton, texts: list[str | None]) -> list[int]:
             high += 1
         seen: defaultdict[str, int] = defaultdict()
         seen.default_factory = seen.__len__
-        ids = [np.fromiter(map(seen.__getitem__, w), np.int64, len(w)) for w in map(_words, texts[low:high])]
-        n = found.counts([MARK + w for w in seen])
+        ids = [np.fromiter(map(seen.__getitem__, w), np.int64, len(w)) for w in (_words(t, found.part) for t in texts[low:high])]
+        n = found.counts([w.replace(" ", MARK) for w in seen])
         for k, x in enumerate(ids):
             out[low + k] = int(n[x].sum())
         low = high
     return out
 
 
-def _words(text: str | None) -> list[str]:
-    """What stands between the marks, once spaces are marks and the text starts with one."""
-    return text.replace(MARK, " ").removeprefix(" ").split(" ") if text else []
+def _words(text: str | None, part: re.Pattern) -> list[str]:
+    """The parts of a text, once marks are spaces and it starts with one."""
+    text = (text or "").replace(MARK, " ")
+    return part.findall(text if text.startswith(" ") else " " + text) if text else []
 
 
 def token_counts(docs: DataFrame, path: str) -> DataFrame:

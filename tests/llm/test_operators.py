@@ -261,6 +261,21 @@ def test_op7_counts_are_the_librarys(docs):
     assert unigram.token_counts(docs, path("piece_bpe_32k.model")).count() == len(AWKWARD) and unigram.token_counts(docs.limit(0), path("piece_bpe_32k.model")).count() == 0
 
 
+def test_op7_runs_of_spaces():
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    pieces, fallback = unigram.vocabulary(path("piece_bpe_32k.model"))
+    texts = [r[1] for r in AWKWARD] + ["a   b", "  a  b ", "▁x y▁", "def f():\n    if x:\n        return  1\n", " " * 40, "a" + " " * 23 + "b\t  c", "😀  😀 ok  "]
+    odd = [("<unk>", 0.0), ("▁", -2.0), ("a", -2.0), ("b", -2.0), ("a▁b", -3.0), ("▁▁", -2.5), ("▁a", -3.5)]
+    for full, found in (
+        ([("<unk>", 0.0), *pieces, *((f"<0x{k:02X}>", 0.0) for k in range(256))], unigram.automaton(path("piece_bpe_32k.model"))), (odd, unigram.Automaton(odd[1:], False, split=False)),
+    ):
+        library = Tokenizer(models.Unigram(full, unk_id=0, byte_fallback=found.fallback))
+        library.pre_tokenizer = pre_tokenizers.Metaspace(replacement=unigram.MARK, prepend_scheme="always", split=False)
+        assert unigram.count_texts(found, texts) == [len(library.encode(t or "", add_special_tokens=False).ids) for t in texts]
+    assert fallback and unigram.count_texts(unigram.automaton(path("piece_bpe_32k.model")), ["a   b"]) == [3]
+
+
 def test_op8_statistics():
     def brute(text):
         words = text.encode().split() if text else []
