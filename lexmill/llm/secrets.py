@@ -24,11 +24,11 @@ from pyspark.sql import functions as F
 from .common import SPACE
 
 #: Words that the value after them makes a candidate of.
-KEYS = "password|passwd|pwd|secret|token|api_?key|access_?key|auth"
+KEYS = "password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth"
 _KEY_CHARS = "A-Za-z0-9+/_\\-"
 #: What leads up to an assigned value, and a candidate with it.
-LEAD = f"(?i:{KEYS})\\s{{0,3}}[:=]\\s{{0,3}}[\"']?"
-PATTERN = f"{LEAD}[^\\s\"'=:,;]{{6,}}|(?<![{_KEY_CHARS}])(?=[A-Za-z+/_\\-]{{0,200}}[0-9])[{_KEY_CHARS}]{{16,}}={{0,2}}"
+LEAD = f"(?:(?i:{KEYS})[\\w-]{{0,40}}[\"']?\\s{{0,3}}[:=]\\s{{0,3}}[\"']?|://[^\\s/:@]{{1,64}}:(?=[^\\s/@]+@))"
+PATTERN = f"{LEAD}[^\\s\"'=:,;@]{{6,}}|(?<![{_KEY_CHARS}])(?=[A-Za-z+/_\\-]*+[0-9])[{_KEY_CHARS}]{{16,}}={{0,2}}"
 #: Characters to each side that count as neighbouring words.
 NEAR = 48
 #: Words in the dictionary, and how many its sketch tracks.
@@ -78,9 +78,9 @@ def described(found: DataFrame, words: list[str]) -> DataFrame:
         "low_digit": share("[a-z](?=[0-9])"), "digit_low": share("[0-9](?=[a-z])"), "low_up": share("[a-z](?=[A-Z])"), "up_digit": share("[A-Z](?=[0-9])"),
         "vowel_pairs": share("[aeiouAEIOU](?=[b-df-hj-np-tv-zB-DF-HJ-NP-TV-Z])"), "distinct": F.size(F.array_distinct(F.split(x, ""))) / F.least(n, F.lit(64.0)),
         "hex": flag(x.rlike("^[0-9a-fA-F]+$")), "words": 1 - rest / n,
-        "assigned": flag(left.rlike("[:=]\\s*[\"']?$")), "key_near": flag(left.rlike(KEYS)), "quoted": flag(left.rlike("[\"']$") & right.rlike("^[\"']")),
+        "assigned": flag(left.rlike("[:=]\\s*[\"']?$") | left.rlike("://[^\\s/:@]+:$")), "key_near": flag(left.rlike(KEYS)), "quoted": flag(left.rlike("[\"']$") & right.rlike("^[\"']")),
         "dummy": flag(F.concat(left, F.lower(x), right).rlike("example|sample|dummy|changeme|placeholder|your[_-]|xxxx|1234567|abcdef|redacted|\\*\\*\\*")),
-        "in_url": flag(left.rlike("(://|www\\.|@)\\S*$")), "sentence": flag(left.rlike("\\p{L}{3,}[,.]? +\\p{L}{2,} +$")),
+        "in_url": flag(left.rlike("(://|www\\.|@)\\S*$") & ~left.rlike("://[^\\s/:@]+:$")), "sentence": flag(left.rlike("\\p{L}{3,}[,.]? +\\p{L}{2,} +$")),
         "code_path": flag(path.rlike("\\.(env|ya?ml|json|ini|cfg|conf|py|js|java|sh|properties)$")), "test_path": flag(path.rlike("test|example|mock|fixture|docs?/")),
         "depth": (F.size(F.split(path, "/")) - 1).cast("double"),
     }
@@ -97,7 +97,7 @@ def examples(spark: SparkSession, n: int = 6000) -> DataFrame:
         return F.element_at(F.array(*[F.lit(c) for c in choices]), (F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(len(choices))) + 1).cast("int"))
 
     prose = ["as was said before in the text ", "and then the other one, ", "see also the long note on ", "de la ciudad y del campo ", "und die anderen sind ", "of the and there was "]
-    naming = ["password=", "token = \"", "api_key: ", "secret=", "auth: ", "export ACCESS_KEY=", "passwd: ", "TOKEN='"]
+    naming = ["password=", "token = \"", "api_key: ", "secret=", "auth: ", "export ACCESS_KEY=", "passwd: ", "TOKEN='", "{\"password\": \"", "DB_PASSWORD_PROD=", "api-key: ", "postgres://bob:"]
     good = [
         (F.concat(F.lit("AKIA"), F.upper(F.substring(b64, 1, 16))), pick(prose + naming, 1)), (F.substring(sha, 1, 18), pick(naming, 2)), (F.substring(sha, 1, 40), pick(naming, 3)),
         (F.concat(pick(["ghp_", "sk_live_", "xoxb-"], 4), F.substring(b64, 1, 36)), pick(prose + naming, 5)), (F.substring(b64, 1, 32), pick(naming, 6)), (F.concat(F.substring(b64, 1, 7), F.lit("!"), F.substring(sha, 1, 4)), pick(naming[:1] + naming[3:], 7)),
