@@ -5,8 +5,8 @@ budget is cut in that order: sums of sizes over key ranges, prefix sums over tho
 that holds the cut a running sum over rows. No task ever sees a whole source.
 
 Defined results: a null source is a source of its own, after all others. A null or wordless text has size 0 and is taken
-0 words. Rows that are equal in every value read (id, source, text) sit side by side in the order; where the cut falls on such rows, each
-of them gets the first one's share. An empty table gives an empty result. Other columns are ignored by the plan and
+0 words. Rows that are equal in every value read (id, source, text) sit side by side in the order and count as one row of all their words,
+which are handed out to them one after the other. An empty table gives an empty result. Other columns are ignored by the plan and
 kept by :func:`mix_documents`.
 """
 
@@ -26,11 +26,11 @@ BROADCAST_SOURCES = 10_000
 
 
 def sized(docs: DataFrame, seed: int = 0) -> DataFrame:
-    """doc_id, source, size and the two keys of the random order, of each row."""
+    """doc_id, source, size, the two keys of the random order, and a number (uid, whose high bits are the partition) of each row."""
     text = F.col("text")
     return docs.select(
         "doc_id", "source", word_count(text).alias("size"),
-        F.xxhash64(F.lit(seed), F.col("doc_id")).alias("key"), F.xxhash64(F.lit(seed + 1), F.col("doc_id"), text).alias("tie"),
+        F.xxhash64(F.lit(seed), F.col("doc_id"), text).alias("key"), F.xxhash64(F.lit(seed + 1), F.col("doc_id"), text).alias("tie"), F.monotonically_increasing_id().alias("uid"),
     )
 
 
@@ -77,6 +77,7 @@ def mix_plan(rows: DataFrame, weights: Sequence[float] = (5, 2, 1), most: int =
     edge = sums.withColumn("before", before).join(want, F.col("source").eqNullSafe(F.col("of"))).where(holds)
     edge = edge.select(F.col("of"), F.col("range").alias("edge"), "before", "rest")
     inside = ranged.join(edge, F.col("source").eqNullSafe(F.col("of")) & (F.col("range") == F.col("edge")))
+    inside = inside.groupBy("of", "before", "rest", "key", "doc_id", "tie").agg(F.sum("size").alias("size"))
     run = Window.partitionBy("of").orderBy("key", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, 0)
     start = F.col("before") + F.sum("size").over(run) - F.col("size")
     last = inside.withColumn("start", start).where((F.col("start") < F.col("rest")) & (F.col("rest") <= F.col("start") + F.col("size")))
@@ -92,8 +93,16 @@ def _with_taken(rows: DataFrame, plan: DataFrame) -> DataFrame:
     if plan.count() <= BROADCAST_SOURCES:
         plan = F.broadcast(plan)
     here = F.struct("key", "doc_id", "tie")
-    part = F.when(here < F.col("cut_at"), F.col("size")).when(here == F.col("cut_at"), F.col("cut_words")).otherwise(0)
-    return rows.join(plan, F.col("source").eqNullSafe(F.col("_of"))).withColumn("taken", (F.col("epochs") * F.col("size") + part).cast("long"))
+    # equal rows at a cut are numbered: within their partition, and by the sums of those before it
+    known = rows.join(plan, F.col("source").eqNullSafe(F.col("_of"))).withColumn("_edge", F.coalesce(here == F.col("cut_at"), F.lit(False))).withColumn("_in", F.shiftright("uid", 33))
+    per = known.where("_edge").groupBy(F.col("_of").alias("_e_of"), F.col("_in").alias("_e_in")).count()
+    per = per.withColumn("_before", F.sum("count").over(Window.partitionBy("_e_of").orderBy("_e_in")) - F.col("count")).drop("count")
+    number = F.row_number().over(Window.partitionBy("_of", "_in").orderBy("uid")) - 1 + F.col("_before")
+    edge = known.where("_edge").join(per, F.col("_of").eqNullSafe(F.col("_e_of")) & (F.col("_in") == F.col("_e_in"))).withColumn("_n", number)
+    part = F.least(F.col("size"), F.greatest(F.lit(0), F.col("cut_words") - F.col("_n") * F.col("size")))
+    rest = known.where("not _edge").withColumn("_n", F.lit(0).cast("long")).withColumn("_part", F.when(here < F.col("cut_at"), F.col("size")).otherwise(F.lit(0).cast("long")))
+    both = edge.withColumn("_part", part).select(*rest.columns).unionByName(rest)
+    return both.withColumn("taken", (F.col("epochs") * F.col("size") + F.col("_part")).cast("long"))
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: int = 3, seed: int = 0) -> DataFrame:
@@ -109,9 +118,9 @@ def mix_documents(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: i
     names = docs.columns
     plan = mix_plan(cut(sized(docs, seed)), weights, most)
     keep = F.struct(*[F.col(c) for c in names]).alias("_row")
-    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), F.col("doc_id")).alias("key"),
-                       F.xxhash64(F.lit(seed + 1), F.col("doc_id"), F.col("text")).alias("tie"), keep)
-    taken = _with_taken(rows, plan).where(F.col("taken") > 0)
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")).alias("key"),
+                       F.xxhash64(F.lit(seed + 1), F.col("doc_id"), F.col("text")).alias("tie"), F.monotonically_increasing_id().alias("uid"), keep)
+    taken = _with_taken(rows, plan).where(F.col("taken") > 0).select("_row", "taken", "size")
     whole, part = F.expr("cast(taken div size as int)"), (F.col("taken") % F.col("size")).cast("int")
     words = F.slice(F.split(F.col("_row.text"), f"(?<=[^{SPACE}])(?=[{SPACE}])"), F.lit(1), F.greatest(F.col("_part"), F.lit(1)))
     copies = F.array_repeat(F.lit(0), F.col("_whole"))
