@@ -1,10 +1,11 @@
-"""Best-fit packing of token sequences, improved by swap-based local search.
+"""Best-fit packing of token sequences by swap-based local search.
 
 What is to be packed is a histogram: lengths run from 1 to the size of a sequence, and pieces of one length are alike.
-So the driver plans over at most ``size`` numbers, whatever the corpus: best fit by falling length gives patterns (lengths
-that share a sequence) with multiplicities, then exchanges between underfull patterns follow: move a piece, swap one for one
-or two for one, where the sum of squared fills grows, until a sequence empties. Each length adds a few patterns at most (one pattern
-splits, one is left over, two are new) and each exchange three, so the plan is bounded by ``size`` and ``tries``.
+So the driver plans over at most ``size`` numbers, whatever the corpus. Best fit by falling length gives patterns (lengths that share a sequence) with multiplicities
+(:func:`first_assignment` is a plainer start, from which the search does nearly all of the work, and takes longer). The search then empties the least filled patterns into others: it moves
+a piece where it fits best, else exchanges one for one or two for one, always so that the sum of squared fills grows, for as many sequences of both
+patterns at once as there are. It ends when no exchange is left, or no packing can have fewer sequences. A pattern without an exchange is
+tried again only against patterns made since. The sum of squares grows with each exchange, so the search ends.
 
 Pieces then get a number within their length: a count in their hash range plus the counts of the ranges before it,
 so that a length that a third of all pieces share doesn't meet in one task.
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 from .byte_bpe import encode
 from .common import batched, cut
 
+#: With an exchange found, so many patterns are looked at for a better one; without one, all.
+ENOUGH = 48
 #: Pieces in a hash range of a length, about.
 RANGE_ROWS = 50_000
 Pattern = tuple[int, ...]
@@ -69,62 +72,145 @@ def best_fit(counts: dict[int, int], size: int) -> Counter[Pattern]:
     return Counter({p: n for at in open_at.values() for p, n in at.items() if n})
 
 
-def improve(patterns: Counter[Pattern], size: int, tries: int = 3000) -> Counter[Pattern]:
-    """Local search: the least filled patterns are emptied into the others by moves and swaps that raise the squared fill."""
-    patterns = Counter(patterns)
-    total = sum(sum(p) * n for p, n in patterns.items())
-    least = -(-total // size)
-    stuck: set[Pattern] = set()
-    while tries > 0 and sum(patterns.values()) > least:
-        under = sorted((p for p, n in patterns.items() if n and sum(p) < size), key=sum)
-        low = next((p for p in under if p not in stuck), None)
-        if low is None:
-            break
-        tries -= 1
-        step = _exchange(low, patterns, under, size)
-        if step is None:
-            stuck.add(low)
-            continue
-        other, new_low, new_other = step
-        n = patterns[low] // 2 if other == low else min(patterns[low], patterns[other])
-        for p, k in ((low, -n), (other, -n), (new_low, n), (new_other, n)):
-            if p:
-                patterns[p] += k
-                if not patterns[p]:
-                    del patterns[p]
-        stuck.clear()  # what didn't fit before may now
-    return patterns
-
-
-def _exchange(low: Pattern, patterns: Counter[Pattern], under: list[Pattern], size: int) -> tuple[Pattern, Pattern, Pattern] | None:
-    """Another pattern and what it and ``low`` become: the exchange that fills the other most; its fill must be no less before."""
-
-    def without(p: Pattern, *gone: int) -> list[int]:
-        rest = list(p)
-        for x in gone:
-            rest.remove(x)
-        return rest
-
-    best = None
-    for other in under:
-        room, fill = size - sum(other), sum(other)
-        if fill < sum(low) or (other == low and patterns[low] < 2):
-            continue
-        inner = sorted(set(low))
-        for gone in {(), *((y,) for y in set(other))}:
-            back = sum(gone)
-            for i, a in enumerate(inner):  # one of low for none or one of the other
-                if 0 < a - back <= room and (best is None or a - back > best[0]):
-                    best = (a - back, other, without(low, a) + list(gone), without(other, *gone) + [a])
-                for b in inner[i:]:  # two of low for one of the other
-                    if (a != b or low.count(a) > 1) and 0 < a + b - back <= room and (best is None or a + b - back > best[0]):
-                        best = (a + b - back, other, without(low, a, b) + list(gone), without(other, *gone) + [a, b])
-        if best and best[0] == sum(low):
-            break
-    if best is None:
+def first_assignment(counts: dict[int, int], size: int) -> Counter[Pattern]:
+    """Patterns of a plain packing: by falling length, each piece into the sequence begun last or a new one."""
+    out: Counter[Pattern] = Counter()
+    begun: Pattern = ()
+    for length in sorted(counts, reverse=True):
+        left = counts[length]
+        more = min(left, (size - sum(begun)) // length)
+        begun, left = begun + (length,) * more, left - more
+        if left:
+            out[begun] += 1
+            each = size // length
+            out[(length,) * each] += (left - 1) // each
+            begun = (length,) * (left - (left - 1) // each * each)
+    out[begun] += 1
+    del out[()]
+    return +out
+
+
+class Search:
+    """Local search over patterns; ``accepted`` counts the sequences that moves and exchanges of each kind changed."""
+
+    def __init__(self, patterns: Counter[Pattern], size: int):
+        self.size, self.patterns, self.accepted = size, Counter(), Counter()
+        self.at: dict[int, set[Pattern]] = defaultdict(set)  # by room left
+        self.rooms: list[int] = []  # that have patterns, ascending
+        self.bins, self.total = 0, 0
+        self.stuck: set[Pattern] = set()
+        self.fresh: list[Pattern] = []
+        for p, n in patterns.items():
+            self.put(p, n)
+            self.bins += n
+            self.total += sum(p) * n
+
+    def put(self, p: Pattern, n: int) -> None:
+        room = self.size - sum(p)
+        before = self.patterns[p]
+        self.patterns[p] += n
+        if not before:
+            if not self.at[room]:
+                insort(self.rooms, room)
+            self.at[room].add(p)
+            self.fresh.append(p)
+        elif not self.patterns[p]:
+            del self.patterns[p]
+            self.stuck.discard(p)
+            self.at[room].remove(p)
+            if not self.at[room]:
+                self.rooms.pop(bisect_left(self.rooms, room))
+
+    def lowest(self) -> Pattern | None:
+        """The least filled pattern that an exchange may be open to."""
+        for room in reversed(self.rooms):
+            for p in sorted(self.at[room] - self.stuck) if room else ():
+                return p
         return None
-    _, other, new_low, new_other = best
-    return other, tuple(sorted(new_low, reverse=True)), tuple(sorted(new_other, reverse=True))
+
+    def run(self) -> Counter[Pattern]:
+        least = -(-self.total // self.size)
+        while self.bins > least:
+            low = self.lowest()
+            if low is None:
+                break
+            step = self.move(low) or self.exchange(low, self.others(low))
+            if step is None:
+                self.stuck.add(low)
+                continue
+            kind, other, new_low, new_other = step
+            n = self.patterns[low] // 2 if other == low else min(self.patterns[low], self.patterns[other])
+            if not new_low:
+                n = min(n, self.bins - least)
+            self.fresh = []
+            for p, k in ((low, -n), (other, -n), (new_low, n), (new_other, n)):
+                if p:
+                    self.put(p, k)
+            self.bins -= n * (not new_low)
+            self.accepted[kind] += n
+            made = [p for p in self.fresh if p in self.patterns]
+            for p in [p for p in self.stuck if self.exchange(p, [q for q in made if sum(q) >= sum(p)])]:
+                self.stuck.discard(p)
+        return self.patterns
+
+    def others(self, low: Pattern) -> list[Pattern]:
+        """Underfull patterns with no less in them than ``low``, the fullest last."""
+        last = self.size - sum(low)
+        return [p for room in reversed(self.rooms) if 0 < room <= last for p in sorted(self.at[room])]
+
+    def move(self, low: Pattern) -> tuple[str, Pattern, Pattern, Pattern] | None:
+        """The move of a piece of ``low`` that leaves least room where it goes."""
+        best = None
+        for a in sorted(set(low), reverse=True):
+            k = bisect_left(self.rooms, a)
+            while k < len(self.rooms) and self.rooms[k] <= self.size - sum(low):
+                found = next((p for p in sorted(self.at[self.rooms[k]]) if p != low or self.patterns[p] > 1), None)
+                if found is not None:
+                    if best is None or self.rooms[k] - a < best[0]:
+                        best = (self.rooms[k] - a, a, found)
+                    break
+                k += 1
+        if best is None:
+            return None
+        _, a, other = best
+        return "move", other, _without(low, a), _with(other, a)
+
+    def exchange(self, low: Pattern, others: list[Pattern]) -> tuple[str, Pattern, Pattern, Pattern] | None:
+        """The exchange of one for one, or two for one, that adds most to the other pattern; or a move."""
+        fill, inner = sum(low), sorted(set(low))
+        ones = [(a, (a,)) for a in inner]
+        twos = [(a + b, (a, b)) for i, a in enumerate(inner) for b in inner[i:] if a != b or low.count(a) > 1]
+        give = sorted(ones + twos)
+        sums = [g[0] for g in give]
+        best, looked = None, 0
+        for other in others:
+            room = self.size - sum(other)
+            if other == low and self.patterns[low] < 2:
+                continue
+            for y in (0, *set(other)):
+                k = bisect_left(sums, y + room + 1) - 1  # the most that fits
+                if k >= 0 and sums[k] > y and (best is None or sums[k] - y > best[0]) and sums[k] - y <= fill:
+                    best = (sums[k] - y, other, give[k][1], y)
+            looked += 1
+            if best and (best[0] == fill or looked >= ENOUGH):
+                break
+        if best is None:
+            return None
+        _, other, gone, y = best
+        new_low, new_other = _without(low, *gone), _with(_without(other, y) if y else other, *gone)
+        kind = "move" if not y else "one for one" if len(gone) == 1 else "two for one"
+        return kind, other, _with(new_low, y) if y else new_low, new_other
+
+
+def _without(p: Pattern, *gone: int) -> Pattern:
+    rest = list(p)
+    for x in gone:
+        rest.remove(x)
+    return tuple(rest)
+
+
+def _with(p: Pattern, *more: int) -> Pattern:
+    return tuple(sorted((*p, *more), reverse=True))
 
 
 def plan(counts: dict[int, int], size: int) -> dict[int, np.ndarray]:
@@ -132,7 +218,7 @@ def plan(counts: dict[int, int], size: int) -> dict[int, np.ndarray]:
     at: Counter[int] = Counter()
     rows = defaultdict(list)
     first = 0
-    for pattern, n in sorted(improve(best_fit(counts, size), size).items(), reverse=True):
+    for pattern, n in sorted(Search(best_fit(counts, size), size).run().items(), reverse=True):
         offset = 0
         for length in pattern:
             rows[length].append((at[length], first, offset))
