@@ -32,8 +32,8 @@ ORDERINGS = 6
 DIRECTIONS, BITS = 12, 4
 #: What a query's window reaches to each side, as a share of all rows.
 REACH = 0.1
-#: Rows in a block, about.
-BLOCK = 2048
+#: Rows in a block, about; smaller where there would be under BLOCKS of them, but no smaller than LEAST.
+BLOCK, BLOCKS, LEAST = 2048, 64, 32
 #: Pairs whose exact cosines are worked out at once.
 PAIRS = 65_536
 
@@ -44,6 +44,11 @@ def usable(vector: str) -> Column:
     return F.coalesce(x.isNotNull() & fine & F.exists(x, lambda v: v != 0), F.lit(False))
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Vectors times powers of two, which rounds nothing, so that no square overflows or vanishes."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
+
+
 def _orderings(dim: int, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
     rng = np.random.RandomState(seed)
     m = min(DIRECTIONS, dim)
@@ -52,6 +57,7 @@ def _orderings(dim: int, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
 
 def _keys(x: np.ndarray, ids: np.ndarray, orderings) -> list[np.ndarray]:
     """A key of each unit vector in each ordering; its last bits are a hash of the id, so that equal vectors spread over blocks."""
+    x = _scaled(x)
     x = x / np.linalg.norm(x, axis=1)[:, None]
     spread = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(50)
     out = []
@@ -88,7 +94,7 @@ def nearest(table: DataFrame, queries: Column, k: int = 5, vec_id: str = "vec_id
             for o, key in enumerate(_keys(matrix(b, 1).astype(np.float64), b.column(0).to_numpy(), orderings)):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), o, np.int32)), pa.array(key)], ["o", "key"])
 
-    blocks = max(1, n // BLOCK)
+    blocks = max(1, min(n // LEAST, max(BLOCKS, n // BLOCK)))
     window = max(1, math.ceil(reach * blocks))
     shares = [j / blocks for j in range(1, blocks)]
     edges = {}
@@ -135,6 +141,7 @@ def nearest(table: DataFrame, queries: Column, k: int = 5, vec_id: str = "vec_id
                 found = s.column(2).to_numpy(zero_copy_only=False).astype(bool)
                 ids = s.column(3).to_numpy()
                 x = np.frombuffer(b"".join(s.column(4).to_pylist()), kind).reshape(-1, dim).astype(np.float64)
+                x = _scaled(x)
                 if not found.all():
                     state["q"].append(ids[~found])
                     state["qv"].append(x[~found])
