@@ -2,7 +2,7 @@
 
 Each document becomes a vector of transformed statistics. Within each group (language and source) the estimate starts at
 the medians and takes concentration steps: the nearest three quarters of the group's rows, by Mahalanobis distance,
-give the next mean and covariance; the determinant never rises. A step is one distributed aggregate: rows fall into
+give the next mean and covariance, ``STEPS`` times. A step is one distributed aggregate: rows fall into
 bins of distance, each with its moments, so that the subset is cut without sorting or gathering a group. A fixed
 variance is added to each statistic, so a group in which one never varies still has a distance.
 
@@ -31,6 +31,8 @@ SUBSET = 0.75
 CUTOFF = 0.99999
 #: Concentration steps; the subsets hardly change after a few.
 STEPS = 6
+#: Rows from which a group has an estimate of its own: ten for each statistic.
+SMALL = 50
 #: Standard deviations added to those found: differences in a statistic that never matter alone.
 FLOORS = {"length": 0.06, "symbols": 0.05, "dup_lines": 0.12, "repeats": 0.08, "distinct": 0.04}
 #: Below so many rejected documents their ids (8 bytes each) are broadcast.
@@ -144,7 +146,7 @@ def estimates(rows: DataFrame, floors: list[float], steps: int = STEPS) -> DataF
     return now
 
 
-def judge(docs: DataFrame, small: int = 100, cutoff: float = CUTOFF) -> DataFrame:
+def judge(docs: DataFrame, small: int = SMALL, cutoff: float = CUTOFF) -> DataFrame:
     """The counts of each document, base_failed, distance (squared; null where none is taken) and kept."""
     p, limit = len(FLOORS), chi2_quantile(cutoff, len(FLOORS))
     stats = statistics(docs).withColumn("base_failed", base_failed()).withColumn("x", F.when(~F.col("base_failed"), F.array(*vector())))
@@ -174,7 +176,7 @@ def judge(docs: DataFrame, small: int = 100, cutoff: float = CUTOFF) -> DataFram
     return rows.select("doc_id", "lang", "source", *STATS, "base_failed", "distance", kept.alias("kept"))
 
 
-def passing(docs: DataFrame, small: int = 100, cutoff: float = CUTOFF) -> DataFrame:
+def passing(docs: DataFrame, small: int = SMALL, cutoff: float = CUTOFF) -> DataFrame:
     """The rows of ``docs`` that are kept; rows of equal doc_id (null counts as one) all go if any is rejected."""
     gone = cut(judge(docs, small, cutoff).where("not kept").select(F.col("doc_id").alias("_gone")).distinct())
     if gone.count() <= BROADCAST_IDS:
