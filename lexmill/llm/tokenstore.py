@@ -62,8 +62,8 @@ def dictionary_hash(dictionary: bytes) -> int:
     return xxhash.xxh64_intdigest(dictionary)
 
 
-def train(docs: DataFrame, path: str, end_id: int, sample: int = SAMPLE, size: int = DICTIONARY) -> bytes:
-    """A dictionary for the serialized ids of about ``sample`` documents; empty where there are too few to train one."""
+def train(docs: DataFrame, path: str, end_id: int, sample: int = SAMPLE, size: int = DICTIONARY, head: int = 1 << 20) -> bytes:
+    """A dictionary for the serialized ids of about ``sample`` documents, of very long ones the first ``head`` bytes; empty where there are too few to train one."""
     import zstandard
 
     width = _width(path)
@@ -71,8 +71,7 @@ def train(docs: DataFrame, path: str, end_id: int, sample: int = SAMPLE, size: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            # the head of a long array says enough to a dictionary and keeps the sample small
-            ids = [np.append(x, np.array([end_id], "<u4")).astype(f"<u{width}").tobytes()[:16384] for x in word_bpe.encode(path, b.column(0).to_pylist())]
+            ids = [np.append(x, np.array([end_id], "<u4")).astype(f"<u{width}").tobytes()[:head] for x in word_bpe.encode(path, b.column(0).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary())], ["ids"])
 
     some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select(F.col("text").cast("string"))
