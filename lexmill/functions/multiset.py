@@ -19,7 +19,10 @@ def merged(cnt: str = "cnt") -> Column:
     return F.struct(F.sum(f"{cnt}.total").alias("total"), F.slice(F.sort_array(tops, asc=False), 1, 3).alias("tops"))
 
 
-def merge(counts: DataFrame, *keys: str) -> DataFrame:
+def merge(counts: DataFrame, *keys: str, salt: str | None = None) -> DataFrame:
+    """Merged by ``keys``; by them and ``salt`` first, if given, so that a key with very many rows meets in one task with one row for each salt."""
     m = F.col("m")
+    if salt:
+        counts = merge(counts, *keys, salt)
     found = counts.groupBy(*keys).agg(merged().alias("m"))
     return found.select(*keys, F.struct(m["total"].alias("total"), *[m["tops"][k].alias(f"top{k + 1}") for k in range(3)]).cast(KIND).alias("cnt"))

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EPS, BOS, EOS, UNK = 0, 1, 2, 3
 RESERVED = ("<eps>", "<s>", "</s>", "<unk>")
+#: Words of a vocabulary that is broadcast, at most.
+IN_PLACE = 500_000
 
 
 def tokens(line: Column) -> Column:
@@ -27,8 +32,10 @@ def is_dev(key: str = "doc_id", every: int = 20) -> Column:
 def to_ids(lines: DataFrame, vocab: DataFrame) -> DataFrame:
     """``lines`` (source, doc, line_no, line) with ids in place of the line; what the vocabulary lacks, and its control symbols, are unknown.
 
-    The vocabulary joins as it is: small ones are broadcast by Spark, larger ones shuffle.
+    A vocabulary of up to :data:`IN_PLACE` words is broadcast, and tokens become ids in place, in Arrow batches, without a shuffle; a larger one joins.
     """
+    if vocab.limit(IN_PLACE + 1).count() <= IN_PLACE:
+        return _in_place(lines, vocab)
     words = lines.select("source", "doc", "line_no", F.posexplode_outer(tokens(F.col("line"))).alias("pos", "t"))
     ids = words.join(vocab.select(F.col("word").alias("t"), "id"), "t", "left")
     known = F.when(F.col("t").isNotNull(), F.when(F.coalesce(F.col("id"), F.lit(UNK)) <= EOS, F.lit(UNK)).otherwise(F.coalesce("id", F.lit(UNK))))
@@ -37,6 +44,21 @@ def to_ids(lines: DataFrame, vocab: DataFrame) -> DataFrame:
     return found.select("source", "doc", "line_no", F.col("s.id").cast("array<int>").alias("ids"))
 
 
+def _in_place(lines: DataFrame, vocab: DataFrame) -> DataFrame:
+    known = {r.word.encode(): r.id if r.id > EOS else UNK for r in vocab.collect()}  # IN_PLACE words at most
+    shared = lines.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for b in batches:
+            found = [[known.get(t, UNK) for t in x.split()] if x else [] for x in b.column(3).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(found, pa.list_(pa.int32()))], ["source", "doc", "line_no", "ids"])
+
+    wanted = lines.select("source", "doc", "line_no", F.col("line").cast("string"))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in wanted.schema[:3])
+    return wanted.mapInArrow(run, kinds + ", ids array<int>")
+
+
 def ngrams(sents: DataFrame, order: int, limit_unknown: bool = False) -> DataFrame:
     """source, hist and word of each n-gram of ids: for each token and the sentence's end, the up to ``order`` - 1 tokens before it.
 

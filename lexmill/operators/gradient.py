@@ -7,9 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import multiset
 from ..functions.tokens import UNK, back_off
-from .model import UNIGRAM, Model, backed_off, discounted, estimate, scale_of, weighted
+from .model import UNIGRAM, Model, estimate, log_prob, scale_of
 from .reestimate import steps
 
 Cut = Callable[[DataFrame], DataFrame]
@@ -33,24 +32,14 @@ def _claims(counts: DataFrame, scales: dict[str, float], above: DataFrame | None
 def objective(counts: DataFrame, dev: DataFrame, order: int, num_words: int, scales: dict[str, float], discounts: dict[int, Sequence[float]], cut: Cut) -> float:
     """Log-probability a word of the held-out n-grams."""
     model = estimate(counts, order, num_words, scales, discounts)
-    from .model import log_prob
-
     return log_prob(model, dev).first().per_word
 
 
 def derivatives(counts: DataFrame, dev: DataFrame, order: int, num_words: int, scales: dict[str, float], discounts: dict[int, Sequence[float]], cut: Cut) -> tuple[float, dict[str, float]]:
     """Log-probability a word, and its derivatives by each source's scale and each order's discounts ('order2_D1')."""
-    # forward, as in estimate(), keeping what the way back needs
-    pieces = weighted(counts, scales)
+    # forward, keeping what the way back needs
     found: dict[int, DataFrame] = {}
-    handed = None
-    for o in range(order, 1, -1):
-        here = pieces.where(F.col("ord") == o).select("hist", "word", "cnt")
-        if handed is not None:
-            here = here.unionByName(handed)
-        found[o] = cut(discounted(multiset.merge(here, "hist", "word"), discounts[o]))
-        handed = backed_off(found[o])
-    model = estimate(counts, order, num_words, scales, discounts)
+    model = estimate(counts, order, num_words, scales, discounts, keep=cut, orders=found)
     model = Model(cut(model.counts), cut(model.states), order, num_words)
     # the held-out text's derivatives by counts, discounts and totals
     once = dev.groupBy("hist", "word").agg(F.sum("cnt").alias("n"))

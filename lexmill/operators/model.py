@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +14,8 @@ from ..session import cut
 
 DISCOUNTS = (0.8, 0.4, 0.2, 0.1)
 UNIGRAM = (0.75, 0.25, 0.1)
+#: Words of a vocabulary whose first order is broadcast (16 bytes each), at most.
+BROADCAST_WORDS = 1_000_000
 
 
 @dataclass
@@ -26,9 +28,6 @@ class Model:
     num_words: int
     meta: dict[str, object] = field(default_factory=dict)
 
-    def persist(self) -> Model:
-        return Model(self.counts.persist(), self.states.persist(), self.order, self.num_words, self.meta)
-
     def cut(self) -> Model:
         """The same, computed, without its lineage."""
         return Model(cut(self.counts), cut(self.states), self.order, self.num_words, self.meta)
@@ -72,10 +71,11 @@ def unigrams(general: DataFrame, num_words: int) -> DataFrame:
 
 
 def estimate(counts: DataFrame, order: int, num_words: int, scales: dict[str, float] | float, discounts: dict[int, Sequence[float]] | None = None,
-             lost: DataFrame | None = None, fold: tuple[DataFrame, float] | None = None) -> Model:
+             lost: DataFrame | None = None, fold: tuple[DataFrame, float] | None = None, keep: Callable[[DataFrame], DataFrame] = cut, orders: dict[int, DataFrame] | None = None) -> Model:
     """A model from integer counts (source, ord, hist, word, cnt): for each order from the highest, merge, discount and hand the discounts down.
 
-    lost: what minimum counts took from histories (source, hist, discount). fold: held-out counts to count in too, and their scale.
+    lost: what minimum counts took from histories (source, hist, discount). fold: held-out counts to count in too, and their scale. Each order is
+    computed once and kept by ``keep``; ``orders`` gets what of each order is merged and discounted.
     """
     discounts = discounts or {}
     pieces = weighted(counts, scales)
@@ -89,7 +89,9 @@ def estimate(counts: DataFrame, order: int, num_words: int, scales: dict[str, fl
         here = pieces.where(F.col("ord") == o).select("hist", "word", "cnt")
         if handed is not None:
             here = here.unionByName(handed)
-        found = discounted(multiset.merge(here, "hist", "word"), discounts.get(o, DISCOUNTS))
+        found = keep(discounted(multiset.merge(here, "hist", "word"), discounts.get(o, DISCOUNTS)))
+        if orders is not None:
+            orders[o] = found
         rows.append(found.select(F.lit(o).alias("ord"), "hist", "word", "count"))
         per = found.groupBy("hist").agg(F.sum("cnt.total").alias("total"), F.sum("d").alias("discount"))
         if took is not None:
@@ -97,7 +99,8 @@ def estimate(counts: DataFrame, order: int, num_words: int, scales: dict[str, fl
             per = per.select("hist", *[(F.col(c) + F.coalesce("took", F.lit(0.0))).alias(c) for c in ("total", "discount")])
         states.append(per.select(F.lit(o).alias("ord"), "hist", "total", "discount"))
         handed = backed_off(found)
-    one = unigrams(multiset.merge(handed, "word"), num_words)
+    salted = found.select("word", F.pmod(F.xxhash64("hist"), F.lit(64)).alias("salt"), F.struct(F.col("d").alias("total"), *[F.col(f"d{k}").alias(f"top{k}") for k in (1, 2, 3)]).cast(multiset.KIND).alias("cnt"))
+    one = keep(unigrams(multiset.merge(salted, "word", salt="salt"), num_words))
     empty = F.array().cast("array<int>")
     rows.append(one.select(F.lit(1).alias("ord"), empty.alias("hist"), "word", "count"))
     states.append(one.agg(F.sum("count").alias("total")).select(F.lit(1).alias("ord"), empty.alias("hist"), "total", F.lit(0.0).alias("discount")))
@@ -107,8 +110,16 @@ def estimate(counts: DataFrame, order: int, num_words: int, scales: dict[str, fl
     return Model(both[0], both[1], order, num_words)
 
 
-def probability(chain: str = "chain") -> Column:
-    return F.aggregate(chain, F.lit(0.0), lambda p, s: (s["c"] + s["disc"] * p) / s["total"])
+def probability(chain: str = "chain", start: Column | None = None) -> Column:
+    return F.aggregate(chain, F.lit(0.0) if start is None else start, lambda p, s: (s["c"] + s["disc"] * p) / s["total"])
+
+
+def first_order(model: Model) -> DataFrame:
+    """word, u (its count) and all (of every word): the state of the empty history, which no n-gram has to be shuffled to."""
+    one = model.counts.where("ord = 1").select("word", F.col("count").alias("u"), F.lit(1).alias("one"))
+    total = model.states.where("ord = 1").select(F.col("total").alias("all"), F.lit(1).alias("one"))
+    found = one.join(F.broadcast(total), "one").select("word", "u", "all")
+    return F.broadcast(found) if model.num_words <= BROADCAST_WORDS else found
 
 
 def scored(model: Model, grams: DataFrame) -> DataFrame:
@@ -117,17 +128,22 @@ def scored(model: Model, grams: DataFrame) -> DataFrame:
     Different n-grams are looked up once: keys are (hist, word), so the result doesn't depend on how rows are spread.
     """
     once = grams.select("hist", "word").distinct()
-    steps = once.select("hist", "word", F.explode(F.transform(F.sequence(F.lit(0), F.size("hist")), lambda k: F.slice("hist", F.lit(1), k))).alias("h"))
+    longer = F.when(F.size("hist") > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.size("hist"), F.lit(1))), lambda k: F.slice("hist", F.lit(1), k)))
+    steps = once.select("hist", "word", F.explode(longer).alias("h"))
     met = steps.join(model.states.select(F.col("hist").alias("h"), "total", "discount"), "h")
     met = met.join(model.counts.select(F.col("hist").alias("h"), "word", "count"), ["h", "word"], "left")
     step = F.struct(F.size("h").alias("k"), F.coalesce("count", F.lit(0.0)).alias("c"), F.col("total"), F.col("discount").alias("disc"))
-    prob = met.groupBy("hist", "word").agg(F.sort_array(F.collect_list(step)).alias("chain")).select("hist", "word", probability().alias("prob"))
+    chains = met.groupBy("hist", "word").agg(F.sort_array(F.collect_list(step)).alias("chain"))
+    rest = once.join(first_order(model), "word")
+    none = F.array().cast("array<struct<k:int,c:double,total:double,disc:double>>")
+    prob = rest.join(chains, ["hist", "word"], "left").select("hist", "word", probability(F.coalesce("chain", none), F.col("u") / F.col("all")).alias("prob"))
     return grams.join(prob, ["hist", "word"])
 
 
 def log_prob(model: Model, grams: DataFrame) -> DataFrame:
     """words, logprob (natural, sum), per_word and perplexity over weighted n-grams (hist, word, cnt)."""
-    total = scored(model, grams).agg(F.sum("cnt").alias("words"), F.sum(F.col("cnt") * F.log("prob")).alias("logprob"))
+    ln = F.when(F.col("prob") > 0, F.log("prob")).otherwise(F.lit(float("-inf")))  # Spark's own logarithm of 0 is null
+    total = scored(model, grams).agg(F.sum("cnt").alias("words"), F.sum(F.col("cnt") * ln).alias("logprob"))
     return total.select("words", "logprob", (F.col("logprob") / F.col("words")).alias("per_word"), F.exp(-F.col("logprob") / F.col("words")).alias("perplexity"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tokens import back_off
-from .model import Model, scored
+from .model import Model, first_order, scored
 
 FLOOR = 1e-20
 #: Statistics of n-grams whose own share of the count is below this are left out.
@@ -17,10 +17,15 @@ LEAST_SHARE = 1e-5
 
 def steps(model: Model, grams: DataFrame) -> DataFrame:
     """hist, word and the rest of ``grams`` with chain: k, h, c, total and disc at every history along the back-off, shortest first."""
-    apart = grams.select("hist", "word", F.explode(F.transform(F.sequence(F.lit(0), F.size("hist")), lambda k: F.slice("hist", F.lit(1), k))).alias("h"))
+    longer = F.when(F.size("hist") > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.size("hist"), F.lit(1))), lambda k: F.slice("hist", F.lit(1), k)))
+    apart = grams.select("hist", "word", F.explode(longer).alias("h"))
     met = apart.join(model.states.select(F.col("hist").alias("h"), "total", "discount"), "h").join(model.counts.select(F.col("hist").alias("h"), "word", "count"), ["h", "word"], "left")
     step = F.struct(F.size("h").alias("k"), "h", F.coalesce("count", F.lit(0.0)).alias("c"), "total", F.col("discount").alias("disc"))
-    return grams.join(met.groupBy("hist", "word").agg(F.sort_array(F.collect_list(step)).alias("chain")), ["hist", "word"])
+    chains = met.groupBy("hist", "word").agg(F.sort_array(F.collect_list(step)).alias("more"))
+    none = F.array().cast("array<struct<k:int,h:array<int>,c:double,total:double,disc:double>>")
+    first = F.array(F.struct(F.lit(0).alias("k"), F.array().cast("array<int>").alias("h"), F.col("u").alias("c"), F.col("all").alias("total"), F.lit(0.0).alias("disc")))
+    found = grams.join(first_order(model), "word").join(chains, ["hist", "word"], "left")
+    return found.select(*grams.columns, F.concat(first, F.coalesce("more", none)).alias("chain"))
 
 
 def statistics(model: Model, cut: Callable[[DataFrame], DataFrame] = lambda df: df) -> Model:

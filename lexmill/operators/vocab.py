@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,7 +38,8 @@ def reserved(spark: SparkSession) -> DataFrame:
 
 def vocabulary_of_list(spark: SparkSession, words: list[str], control: tuple[str, ...] = RESERVED) -> DataFrame:
     """A vocabulary of a word list (two words at least) in its order; repeated and control words are errors."""
-    bad = sorted({w for w in words if w in control or not w or len(w.split()) != 1 or words.count(w) > 1})
+    times = Counter(words)
+    bad = sorted({w for w in words if w in control or not w or len(w.split()) != 1 or times[w] > 1})
     if bad or len(words) < 2:
         raise ValueError(f"not a word list: {bad or 'too short'}")
     return spark.createDataFrame([*zip(control, range(4)), *((w, k + 4) for k, w in enumerate(words))], "word string, id int")

@@ -180,7 +180,7 @@ class SizeModel:
         """The last step overshot: forget it, and expect thresholds to do more."""
         self.sizes.pop()
         self.thresholds.pop()
-        self.previous_power *= 1.2
+        self.previous_power = min(1.0, self.previous_power * 1.2)
         self.threshold_power = max(-2.0, self.threshold_power * 1.2)
 
     def predicted(self, threshold: float) -> float:

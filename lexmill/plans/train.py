@@ -13,7 +13,7 @@ from ..operators import counts as C
 from ..operators import gradient, reestimate
 from ..operators import vocab as V
 from ..operators.model import Model, estimate, log_prob
-from ..session import cut
+from ..session import cut, scratch
 from . import optimise as O
 
 SCHEDULE = "prune*0.25 EM EM EM prune*0.5 EM EM EM prune*1.0 EM EM EM prune*1.0 EM EM EM"
@@ -34,7 +34,8 @@ def optimise(counts: DataFrame, dev: DataFrame, order: int, num_words: int, para
 
     def f(x: np.ndarray) -> tuple[float, np.ndarray]:
         now = O.from_free(names, x)
-        value, grad = gradient.derivatives(counts, dev, order, num_words, *O.split(now, order), cut)
+        with scratch(counts.sparkSession):
+            value, grad = gradient.derivatives(counts, dev, order, num_words, *O.split(now, order), cut)
         return -value, -O.free_gradient(names, x, grad)
 
     found = O.Bfgs(f, x, inverse, most=most)
@@ -95,20 +96,27 @@ def prune(model: Model, threshold: float, schedule: str = SCHEDULE) -> tuple[Mod
     """``model`` pruned along the schedule with ``threshold`` times its factors and re-estimated, and what that costs in log-probability a word."""
     stats = reestimate.statistics(model, cut).cut()
     before, _ = reestimate.stats_log_prob(model, stats)
-    now, now_stats = model, stats
+    now, now_stats, last, changes = model, stats, before, 0.0
     for step in parse_steps(schedule):
-        now, now_stats = _step(now, now_stats, None if step is None else step * threshold)
+        now, now_stats, cost = _step(now, now_stats, None if step is None else step * threshold)
+        if step is None:
+            value, words = reestimate.stats_log_prob(now, now_stats)
+            changes, last = changes + value - last, value
+        else:
+            words = reestimate.stats_log_prob(now, now_stats)[1]
+            changes, last = changes + cost / words, last + cost / words
     after, _ = reestimate.stats_log_prob(now, now_stats)
-    now.meta["was_pruned"] = "true"
+    now.meta |= {"was_pruned": "true", "approximate_divergence": -changes, "divergence": before - after}
     return now, before - after
 
 
-def _step(model: Model, stats: Model, threshold: float | None) -> tuple[Model, Model]:
+def _step(model: Model, stats: Model, threshold: float | None) -> tuple[Model, Model, float]:
+    """A step's model and statistics, and what a pruning costs in log-probability."""
     if threshold is None:
-        return reestimate.maximised(model, stats).cut(), stats
-    new, _ = reestimate.pruned(model, threshold, cut)
+        return reestimate.maximised(model, stats).cut(), stats, 0.0
+    new, cost = reestimate.pruned(model, threshold, cut)
     small, small_stats = reestimate.without_zeros(new, stats)
-    return small.cut(), small_stats.cut()
+    return small.cut(), small_stats.cut(), cost
 
 
 def prune_to(model: Model, ngrams: int, threshold: float = 0.25, most: int = 20) -> Model:
@@ -123,14 +131,16 @@ def prune_to(model: Model, ngrams: int, threshold: float = 0.25, most: int = 20)
     states = [(model, stats)]
     for _ in range(most):
         at = sizes.next()
-        now = _step(*states[-1], at)
+        now = _step(*states[-1], at)[:2]
         for _ in range(2):
-            now = _step(*now, None)
+            now = _step(*now, None)[:2]
         sizes.record(now[0].counts.count(), at)
         if sizes.reached():
             states.append(now)
             break
         if sizes.overshot():
+            if len(states) == 1 and at / 4 < 1e-9:
+                raise ValueError("no threshold prunes the model to so many n-grams")
             if len(states) == 1:
                 sizes = O.SizeModel(unigrams, ngrams, at / 4)
                 sizes.record(total, None)
@@ -138,6 +148,8 @@ def prune_to(model: Model, ngrams: int, threshold: float = 0.25, most: int = 20)
                 sizes.back()
             continue
         states.append(now)
+    else:
+        raise ValueError(f"the model isn't within 5 % of {ngrams} n-grams after {most} steps")
     found = states[-1][0]
     found.meta["was_pruned"] = "true"
     return found

@@ -11,6 +11,7 @@ from lexmill.operators import counts as C
 from lexmill.operators import gradient as G
 from lexmill.operators import model as M
 from lexmill.operators import reestimate as R
+from lexmill.operators import tables as T_
 from lexmill.operators import vocab as V
 from lexmill.plans import optimise as O
 from lexmill.plans import train as T
@@ -138,15 +139,122 @@ def test_size_model():
     assert 142_500 <= total <= 157_500
 
 
-def test_arpa_round_trip(spark, simple, tmp_path):
+ARPA = r"""\data\
+ngram 1=6
+ngram 2=5
+ngram 3=4
+
+\1-grams:
+-99	<s>	-0.221849
+{u[2]}	</s>
+{u[3]}	<unk>
+{u[4]}	a	-0.09691
+{u[5]}	b	-0.09691
+{u[6]}	c	-0.221849
+
+\2-grams:
+{0}	<s> a	-0.09691
+{1}	a b	-0.09691
+{2}	a c	-0.09691
+{3}	b c	-0.09691
+{4}	c </s>
+
+\3-grams:
+"""
+
+
+def test_arpa_file(spark, simple, tmp_path):
     _, vocab, _, model = simple
-    arpa.write(model, vocab, str(tmp_path / "lm"))
-    text = "\n".join(r.value for r in spark.read.text(str(tmp_path / "lm")).collect())
-    assert "\\data\\" in text and "ngram 1=6" in text and "-99\t<s>\t-0.221849" in text and text.rstrip().endswith("\\end\\")
-    back = arpa.read(spark, str(tmp_path / "lm"), vocab)
+    to = str(tmp_path / "lm.arpa")
+    arpa.write(model, vocab, to)
+    text = (tmp_path / "lm.arpa").read_text()
+    # probabilities by hand from the counts
+    one = {2: 0.34875 / 2.04, 3: 0.595 / 2.04, 4: 0.39875 / 2.04, 5: 0.22875 / 2.04, 6: 0.46875 / 2.04}
+    two = [0.4 + 0.6 * one[4], (0.08 + 0.64 * one[5]) / 0.8, (0.08 + 0.64 * one[6]) / 0.8, 0.8 * one[6], (0.32 + 0.48 * one[2]) / 0.8]
+    three = {"<s> a b": 0.1 + 0.8 * two[1], "<s> a c": 0.1 + 0.8 * two[2], "a b c": (0.1 + 0.4 * two[3]) / 0.5, "a c </s>": (0.1 + 0.4 * two[4]) / 0.5, "b c </s>": (0.1 + 0.4 * two[4]) / 0.5}
+    wanted = ARPA.replace("ngram 3=4", "ngram 3=5").format(*(f"{math.log10(p):.6g}" for p in two), u={k: f"{math.log10(p):.6g}" for k, p in one.items()}) + "".join(f"{math.log10(p):.6g}\t{n}\n" for n, p in three.items()) + "\n\\end\\\n"
+    assert text == wanted
+    back = arpa.read(spark, to, vocab)
     both = back.join(M.probabilities(model).select("hist", "word", F.col("log10").alias("exact")), ["hist", "word"])
     assert both.count() == 15 and both.where("abs(prob - exact) > 1e-5").isEmpty()
-    assert spark.read.text(str(tmp_path / "lm")).where("value = ''").count() >= 1
+
+
+def test_arpa_errors(spark, simple):
+    _, vocab, _, model = simple
+    with pytest.raises(Exception, match="no word has the id 5"):
+        arpa.lines(model, vocab.where("id <> 5")).collect()
+    lone = M.Model(model.counts.where("ord <> 2 or word <> 6 or hist[0] <> 5"), model.states.union(model.states.where("ord = 3").limit(1).selectExpr("ord", "array(3, 3)", "total", "discount")), 3, 6)
+    with pytest.raises(Exception, match="without a probability"):
+        arpa.lines(lone, vocab).collect()
+    numbers = spark.createDataFrame([(-1.5e-5,), (-99.0,), (0.0,), (None,), (-12.3456789,), (-0.1,), (-9.9999999e-5,)], "x double").select(arpa.number(F.col("x")).alias("t")).collect()
+    assert [r.t for r in numbers] == ["-1.5e-05", "-99", "0", None, "-12.3457", "-0.1", "-0.0001"] or numbers[-1].t == "-1e-04"
+
+
+def test_printing_splitting_and_perturbing(spark, simple):
+    _, _, counts, model = simple
+    printed = {tuple(r.hist): r.line for r in T_.int_counts_text(counts).collect()}
+    assert printed[(1,)] == " [ 1 ]: total=2 4->2 " and printed[(4, 1)] == " [ 4 1 ]: total=2 5->1 6->1 "
+    lost = spark.createDataFrame([("t", [4, 1], 3)], "source string, hist array<int>, discount long")
+    assert {r.line for r in T_.int_counts_text(counts, lost).collect()} >= {" [ 4 1 ]: total=5 discount=3 5->1 6->1 "}
+    assert {tuple(r.hist): r.line for r in T_.model_text(model).collect()}[(5, 4)] == " [ 5 4 ]: total=0.5 discount=0.4 6->0.1 "
+    assert " [ ]: 1 4 5 6 " in {r.line for r in T_.history_text(R.protected(model)).collect()}
+    parts = T_.split_model(model, 2)
+    assert parts.where("ord = 1").count() == 2 * model.counts.where("ord = 1").count() and T_.merge_problems(parts).isEmpty()
+    assert table(T_.merge_model(parts, 3, 6), 9) == table(model, 9)
+    assert not T_.merge_problems(parts.withColumn("count", F.expr("count + if(ord = 1 and split = 1 and word = 3, 1, 0)"))).isEmpty()
+    assert M.problems(T_.perturbed(model)).isEmpty()
+    assert T_.count_problems(counts, 3, 6).isEmpty() and T_.count_problems(counts, 4, 5).count() == 2
+    assert not T_.derivative_problems({f"order2_D{k}": 0.0 for k in (1, 2, 3, 4)} | {"scale_a": 1.0}, ["a"], 2) and T_.derivative_problems({"scale_a": float("nan")}, ["b"], 2)
+    said = spark.createDataFrame([("Well [laughter] I-, uh, don't <b_aside> know.",)], "x string").select(T_.normalised(F.col("x")).alias("t")).first().t
+    assert said == "well i uh don't know"
+
+
+def test_merged_in_two_steps(spark):
+    from lexmill.functions import multiset
+
+    rows = spark.range(500).select((F.col("id") % 3).cast("int").alias("word"), (F.col("id") % 7).alias("salt"), F.struct((F.col("id") / 10).alias("total"), (F.col("id") / 20).alias("top1"), (F.col("id") / 40).alias("top2"), F.lit(0.0).alias("top3")).cast(multiset.KIND).alias("cnt"))
+    key = lambda df: sorted(str(r) for r in df.select("word", F.round("cnt.total", 6), "cnt.top1", "cnt.top2", "cnt.top3").collect())
+    assert key(multiset.merge(rows, "word")) == key(multiset.merge(rows, "word", salt="salt"))
+
+
+def test_ids_by_join_and_in_place(spark, monkeypatch):
+    from lexmill.functions import tokens
+
+    lines = spark.createDataFrame([("s", 0, 0, " a  b\tzz </s> "), ("s", 0, 1, ""), ("s", 1, 0, None)], KIND)
+    vocab = V.vocabulary_of_list(spark, ["a", "b", "c"])
+    key = lambda: sorted((r.doc, r.line_no, tuple(r.ids)) for r in to_ids(lines, vocab).collect())
+    found = key()
+    monkeypatch.setattr(tokens, "IN_PLACE", 2)
+    assert found == key() == [(0, 0, (4, 5, 3, 3)), (0, 1, ()), (1, 0, ())]
+
+
+def test_probability_zero_and_cleaning_up(spark, simple):
+    from lexmill import session
+
+    _, _, _, model = simple
+    none = M.Model(model.counts.withColumn("count", F.expr("if(size(hist) = 0 and word = 3, 0, count)")), model.states, 3, 6)
+    grams = spark.createDataFrame([([], 3, 2)], "hist array<int>, word int, cnt long")
+    assert M.log_prob(none, grams).first().perplexity == math.inf
+    with session.scratch(spark):
+        kept = cut(grams)
+        assert kept.count() == 1
+    with pytest.raises(Exception):
+        kept.count()
+
+
+def test_pruning_to_a_size(spark):
+    rows = [("x", 0, k, " ".join("abcdefgh"[(k * 7 + j * (k % 5 + 1)) % 8] for j in range(12))) for k in range(40)]
+    lines = spark.createDataFrame([*rows, ("dev", 0, 0, "a b c d")], KIND)
+    found = T.train(lines, 3, word_list=list("abcdefgh"), params=O.initial(["x"], 3)).model
+    all_ = found.counts.count()
+    assert T.prune_to(found, all_) is found
+    goal = int(all_ * 0.8)
+    try:
+        assert abs(T.prune_to(found, goal).counts.count() - goal) <= 0.05 * goal
+    except ValueError as e:
+        assert "n-grams" in str(e)
+    with pytest.raises(ValueError):
+        T.prune_to(found, 1, most=2)
 
 
 def test_save_and_load(spark, simple, tmp_path):
