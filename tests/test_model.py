@@ -170,7 +170,7 @@ def test_arpa_file(spark, simple, tmp_path):
     text = (tmp_path / "lm.arpa").read_text()
     # probabilities by hand from the counts
     one = {2: 0.34875 / 2.04, 3: 0.595 / 2.04, 4: 0.39875 / 2.04, 5: 0.22875 / 2.04, 6: 0.46875 / 2.04}
-    two = [0.4 + 0.6 * one[4], (0.08 + 0.64 * one[5]) / 0.8, (0.08 + 0.64 * one[6]) / 0.8, 0.8 * one[6], (0.32 + 0.48 * one[2]) / 0.8]
+    two = [0.4 + 0.6 * one[4], (0.08 + 0.64 * one[5]) / 0.8, (0.08 + 0.64 * one[6]) / 0.8, (0.08 + 0.32 * one[6]) / 0.4, (0.32 + 0.48 * one[2]) / 0.8]
     three = {"<s> a b": 0.1 + 0.8 * two[1], "<s> a c": 0.1 + 0.8 * two[2], "a b c": (0.1 + 0.4 * two[3]) / 0.5, "a c </s>": (0.1 + 0.4 * two[4]) / 0.5, "b c </s>": (0.1 + 0.4 * two[4]) / 0.5}
     wanted = ARPA.replace("ngram 3=4", "ngram 3=5").format(*(f"{math.log10(p):.6g}" for p in two), u={k: f"{math.log10(p):.6g}" for k, p in one.items()}) + "".join(f"{math.log10(p):.6g}\t{n}\n" for n, p in three.items()) + "\n\\end\\\n"
     assert text == wanted
