@@ -103,8 +103,8 @@ def _gradient(c: Corpus) -> DataFrame:
     return counts.sparkSession.createDataFrame([("per_word", value), *sorted(found.items())], "name string, derivative double")
 
 
-def _tuned(c: Corpus, order: int = 2, most: int = 30) -> DataFrame:
-    """Bigram parameters, tuned from the usual start until the usual tolerances are met."""
+def _tuned(c: Corpus, order: int = 2, most: int = 1) -> DataFrame:
+    """Bigram parameters after ``most`` steps from the usual start; train.optimise goes on until its tolerances are met."""
     counts, dev = cut(C.int_counts(to_ids(c.train, c.vocab), order)), cut(C.merge_int_counts(C.int_counts(to_ids(c.dev, c.vocab), order)))
     best, value, _ = train.optimise(counts, dev, order, WORDS, optimise.initial(sorted(SCALES), order, SCALES), most=most)
     return counts.sparkSession.createDataFrame([("per_word", value), *sorted(best.items())], "name string, value double")
