@@ -278,3 +278,11 @@ def test_train_and_prune(spark):
     assert T.data_log_prob(found.model, found.vocab, lines.where("source = 'dev'")).first().words == 4
     with pytest.raises(ValueError):
         T.parse_steps("EM")
+
+
+def test_sizes_sum_alike_in_any_order(spark):
+    from lexmill.plans import queries as Q
+
+    rows = [(0.1,)] * 7000 + [(1e6,), (1e-9,)] * 500
+    sums = {spark.createDataFrame(x, "count double").repartition(n).agg(Q._exact("count").cast("string").alias("s")).first().s.rstrip("0") for n in (1, 3) for x in (rows, rows[::-1])}
+    assert sums == {"500000700.0000005"}
