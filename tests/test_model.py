@@ -286,3 +286,14 @@ def test_sizes_sum_alike_in_any_order(spark):
     rows = [(0.1,)] * 7000 + [(1e6,), (1e-9,)] * 500
     sums = {spark.createDataFrame(x, "count double").repartition(n).agg(Q._exact("count").cast("string").alias("s")).first().s.rstrip("0") for n in (1, 3) for x in (rows, rows[::-1])}
     assert sums == {"500000700.0000005"}
+
+
+def test_mixture_table_keeps_sources_apart(spark):
+    from lexmill.operators import vocab
+
+    counts = spark.createDataFrame([("a", f"w{k}", k + 1) for k in range(50)] + [("b", "w1", 3)], "source string, word string, cnt long")
+    per, names, sizes = vocab.mixture_table(counts, spark.createDataFrame([("d", "w1", 2), ("d", "w3", 1), ("d", "none", 1)], "source string, word string, cnt long"))
+    plan = per._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [source" not in plan and "BroadcastHashJoin [source" in plan
+    assert names == ["a", "b"] and sizes == [1275, 3]
+    assert {r.word: (r.n, *r.q) for r in per.collect()} == {"w1": (2, 2 / 1275, 1.0), "w3": (1, 4 / 1275, 0.0)}
