@@ -76,12 +76,15 @@ def sentence_problems(sents: DataFrame, num_words: int) -> DataFrame:
 
 def count_problems(counts: DataFrame, order: int, num_words: int) -> DataFrame:
     """What is wrong with integer counts: counts below 1, histories of another length than the order says, words out of range, orders without n-grams."""
-    low = counts.where("cnt < 1 or cnt is null").groupBy("source").count().select(F.concat(F.lit("counts under 1 in "), "source").alias("problem"))
-    long = counts.where("size(hist) + 1 <> ord").groupBy("source").count().select(F.concat(F.lit("orders that aren't the histories' in "), "source"))
-    words = counts.where((F.col("word") < EOS) | (F.col("word") > num_words)).groupBy("source").count().select(F.concat(F.lit("words out of range in "), "source"))
-    there = counts.select("ord").distinct()
-    wanted = counts.sparkSession.range(2, order + 1).select(F.col("id").cast("int").alias("ord"))
-    return low.union(long).union(words).union(wanted.join(there, "ord", "left_anti").select(F.concat(F.lit("no n-grams of order "), F.col("ord").cast("string"))))
+    bad = {"counts under 1 in ": "cnt < 1 or cnt is null", "orders that aren't the histories' in ": "size(hist) + 1 <> ord", "words out of range in ": f"word < {EOS} or word > {num_words}"}
+    # one look at the counts: a row for each source and order, of which all else is made
+    per = counts.groupBy("source", "ord").agg(*[F.max(F.coalesce(F.expr(x), F.lit(False))).alias(f"bad{k}") for k, x in enumerate(bad.values())])
+    said = F.array(*[F.when(F.col(f"bad{k}"), F.concat(F.lit(text), "source")) for k, text in enumerate(bad)])
+    missing = F.array_except(F.sequence(F.lit(2), F.lit(order)), F.coalesce(F.collect_set("ord"), F.array().cast("array<int>"))) if order >= 2 else F.array().cast("array<int>")
+    lacks = F.transform(missing, lambda o: F.concat(F.lit("no n-grams of order "), o.cast("string")))
+    found = per.agg(F.flatten(F.collect_set(said)).alias("said"), lacks.alias("lacks"))
+    every = found.select(F.explode(F.concat("said", "lacks")).alias("problem"))
+    return every.where("problem is not null").distinct()
 
 
 def derivative_problems(found: dict[str, float], names: list[str], order: int) -> list[str]:

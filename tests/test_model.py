@@ -297,3 +297,27 @@ def test_mixture_table_keeps_sources_apart(spark):
     assert "SortMergeJoin [source" not in plan and "BroadcastHashJoin [source" in plan
     assert names == ["a", "b"] and sizes == [1275, 3]
     assert {r.word: (r.n, *r.q) for r in per.collect()} == {"w1": (2, 2 / 1275, 1.0), "w3": (1, 4 / 1275, 0.0)}
+
+
+def test_counted_ngrams_are_the_ngrams(spark):
+    from lexmill.functions import tokens
+
+    rows = [("a", [4, 5, 3, 4, 5]), ("b", []), ("a", [3, 3, 4]), (None, [4, 5]), ("a", [4, 5, 3, 4, 5]), ("b", None), ("b", [9, None, 4]), ("b", [2**31 - 1] * 4)]
+    sents = spark.createDataFrame(rows, "source string, ids array<int>").repartition(2)
+    for order in (2, 3, 5):
+        for limit in (False, True):
+            plain = tokens.ngrams(sents, order, limit).groupBy("source", "hist", "word").count()
+            assert sorted(map(str, C.int_counts(sents, order, limit).select("source", "hist", "word", F.col("cnt").alias("count")).collect())) == sorted(map(str, plain.collect()))
+
+
+def test_word_counts_of_odd_lines(spark):
+    lines = spark.createDataFrame([("s", " a\x0bb  a\t"), ("s", None), ("t", ""), (None, "a\u00a0b   a"), ("t", "ä a\r\nä")], "source string, line string")
+    assert {(r.source, r.word): r.cnt for r in V.word_counts(lines).collect()} == {("s", "a"): 2, ("s", "b"): 1, (None, "a\u00a0b"): 1, (None, " "): 1, (None, "a"): 1, ("t", "ä"): 2, ("t", "a"): 1}
+
+
+def test_count_problems_look_once(spark, simple):
+    counts = simple[2]
+    found = T_.count_problems(counts.union(spark.createDataFrame([("u", 3, [4], 4, 0), ("u", 2, [4], 1, 2)], counts.schema)), 4, 6)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
+    assert {r.problem for r in found.collect()} == {"counts under 1 in u", "orders that aren't the histories' in u", "words out of range in u", "no n-grams of order 4"}
+    assert {r.problem for r in T_.count_problems(counts.where("false"), 3, 6).collect()} == {"no n-grams of order 2", "no n-grams of order 3"}
