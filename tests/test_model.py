@@ -321,3 +321,26 @@ def test_count_problems_look_once(spark, simple):
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
     assert {r.problem for r in found.collect()} == {"counts under 1 in u", "orders that aren't the histories' in u", "words out of range in u", "no n-grams of order 4"}
     assert {r.problem for r in T_.count_problems(counts.where("false"), 3, 6).collect()} == {"no n-grams of order 2", "no n-grams of order 3"}
+
+
+def test_back_off_walk_makes_no_lists(spark, simple):
+    model = simple[3]
+    gap = M.Model(model.counts, model.states.where("hist <> array(4)"), 3, 6)  # a longer history, (5, 4) and (6, 4) too, without its shorter one
+    counts = {(tuple(r.hist), r.word): r["count"] for r in gap.counts.collect()}
+    states = {tuple(r.hist): r for r in gap.states.collect()}
+    hists = [(), (1,), (4,), (5,), (4, 1), (5, 4), (6, 4), (4, 6), (5, 4, 1), (3, 3, 3, 3)]
+
+    def plain(hist, word):
+        p = counts[(), word] / states[()].total
+        for k in (1, 2):
+            if len(hist) >= k and hist[:k] in states:
+                p = (counts.get((hist[:k], word), 0.0) + states[hist[:k]].discount * p) / states[hist[:k]].total
+        return p
+
+    grams = spark.createDataFrame([(list(h), w, 1) for h in hists for w in range(2, 7)], "hist array<int>, word int, cnt int")
+    found = M.scored(gap, grams)
+    assert "collect_list" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {(tuple(r.hist), r.word): r.prob for r in found.collect()} == {(h, w): plain(h, w) for h in hists for w in range(2, 7)}
+    stats = R.statistics(model, cut)
+    for df in (stats.counts, M.probabilities(model), R.maximised(model, stats).counts, R.steps(model, model.counts)):
+        assert "collect_list" not in df._jdf.queryExecution().optimizedPlan().toString()
