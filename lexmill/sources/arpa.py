@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.tokens import BOS
-from ..operators.model import Model, back_off_weights, probabilities
+from ..operators.model import BROADCAST_WORDS, Model, back_off_weights, probabilities
+from ..session import cut
 
 
 def number(x: Column) -> Column:
@@ -16,7 +17,9 @@ def number(x: Column) -> Column:
     size = F.abs(x)
     place = F.when(size > 0, F.floor(F.log10(size))).otherwise(0).cast("int")
     digits = F.greatest(F.lit(0), F.lit(5) - place)
-    fixed = F.element_at(F.array(*[F.format_string(f"%.{k}f", x) for k in range(11)]), F.least(digits, F.lit(10)) + 1)
+    fixed = F.format_string("%.10f", x)
+    for k in range(10):  # only the one that is wanted is made
+        fixed = F.when(digits == k, F.format_string(f"%.{k}f", x)).otherwise(fixed)
     fixed = F.when(fixed.contains("."), F.regexp_replace(fixed, r"\.?0+$", "")).otherwise(fixed)
     small = F.regexp_replace(F.format_string("%.5e", x), r"\.?0*e", "e")
     return F.when(x.isNotNull(), F.when((size > 0) & (size < 1e-4), small).otherwise(fixed))
@@ -30,18 +33,23 @@ def rows(model: Model, vocab: DataFrame) -> DataFrame:
     probs = probabilities(model).select("ord", F.concat(F.reverse("hist"), F.array("word")).alias("ids"), F.col("log10").alias("prob"))
     start = model.counts.sparkSession.range(1).select(F.lit(1).alias("ord"), F.array(F.lit(BOS)).alias("ids"), F.lit(-99.0).alias("prob"))
     weights = back_off_weights(model).select((F.col("ord") - 1).alias("ord"), F.reverse("hist").alias("ids"), F.col("log10").alias("backoff"))
-    both = probs.unionByName(start).join(weights, ["ord", "ids"], "full_outer")
+    # weights belong to shorter n-grams, so the longest, which are most, aren't joined
+    both = probs.where(F.col("ord") < model.order).unionByName(start).join(weights, ["ord", "ids"], "full_outer")
     shown = F.concat_ws(" ", F.transform("ids", lambda x: x.cast("string")))
     both = both.withColumn("prob", F.when(F.col("prob").isNull(), F.raise_error(F.concat(F.lit("a back-off weight without a probability: "), shown)).cast("double")).otherwise(F.col("prob")))
-    named = both.select("ord", "ids", "prob", "backoff", F.posexplode("ids").alias("pos", "id")).join(vocab, "id", "left")
-    word = F.when(F.col("word").isNull(), F.raise_error(F.concat(F.lit("no word has the id "), F.col("id").cast("string")))).otherwise(F.col("word"))
-    words = F.transform(F.sort_array(F.collect_list(F.struct("pos", word.alias("word")))), lambda x: x["word"])
-    return named.groupBy("ord", "ids", "prob", "backoff").agg(F.concat_ws(" ", words).alias("ngram"))
+    named = both.unionByName(probs.where(F.col("ord") == model.order).withColumn("backoff", F.lit(None).cast("double")))
+    words = []
+    for k in range(model.order):
+        names = vocab.select(F.col("id").alias(f"id{k}"), F.col("word").alias(f"word{k}"))
+        named = named.withColumn(f"id{k}", F.get("ids", F.lit(k))).join(F.broadcast(names) if model.num_words <= BROADCAST_WORDS else names, f"id{k}", "left")
+        lacks = F.col(f"id{k}").isNotNull() & F.col(f"word{k}").isNull()
+        words.append(F.when(lacks, F.raise_error(F.concat(F.lit("no word has the id "), F.col(f"id{k}").cast("string")))).otherwise(F.col(f"word{k}")))
+    return named.select("ord", "ids", "prob", "backoff", F.concat_ws(" ", *words).alias("ngram"))
 
 
 def lines(model: Model, vocab: DataFrame) -> DataFrame:
     """The file's lines in order: ord, key and line. n-grams of an order go by their ids as text."""
-    found = rows(model, vocab)
+    found = cut(rows(model, vocab))
     text = F.concat(number(F.col("prob")), F.lit("\t"), F.col("ngram"), F.coalesce(F.concat(F.lit("\t"), number(F.col("backoff"))), F.lit("")))
     body = found.select("ord", F.concat(F.lit("1"), F.concat_ws(" ", F.transform("ids", lambda x: x.cast("string")))).alias("key"), text.alias("line"))
     counts = found.groupBy("ord").agg(F.count("*").alias("n"))

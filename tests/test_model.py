@@ -344,3 +344,10 @@ def test_back_off_walk_makes_no_lists(spark, simple):
     stats = R.statistics(model, cut)
     for df in (stats.counts, M.probabilities(model), R.maximised(model, stats).counts, R.steps(model, model.counts)):
         assert "collect_list" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_arpa_rows_make_no_lists_and_numbers_once(spark, simple):
+    _, vocab, _, model = simple
+    said = arpa.rows(model, vocab)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in said and "Generate" not in said
+    assert "array(format" not in spark.range(1).select(arpa.number(F.rand(1)))._jdf.queryExecution().optimizedPlan().toString()
