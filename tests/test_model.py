@@ -351,3 +351,17 @@ def test_arpa_rows_make_no_lists_and_numbers_once(spark, simple):
     said = arpa.rows(model, vocab)._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list" not in said and "Generate" not in said
     assert "array(format" not in spark.range(1).select(arpa.number(F.rand(1)))._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_gradient_looks_up_without_lists(spark, simple, order):
+    lines, vocab, _, _ = simple
+    counts = cut(C.int_counts(to_ids(lines, vocab), order))
+    seen = []
+
+    def keep(df):
+        seen.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return cut(df)
+
+    G.derivatives(counts, cut(C.merge_int_counts(counts)), order, 6, {"t": 0.5}, {o: M.DISCOUNTS for o in range(2, order + 1)}, keep)
+    assert not [x for x in seen if "collect_list(struct" in x]
